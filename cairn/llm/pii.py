@@ -98,7 +98,14 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # --- the semi-Markov model ---------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
+_TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
+
+
+def tokenise(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    """Spans of words of ASCII letters and digits, and of single other signs."""
+    return [m.span() for m in _TOKEN.finditer(text, low, high)]
+
+
 _HINTS = {
     "password": "key", "passwd": "key", "pwd": "key", "token": "key", "secret": "key", "apikey": "key", "key": "key", "bearer": "key",
     "tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "ring": "phone",
@@ -113,6 +120,8 @@ _SPELT = re.compile(r"[a-z0-9._-]+(?: at | ?[\[(] ?at ?[\])] ?)[a-z0-9-]+(?:(?:
 _FEATURES = (
     "bias", "spelt_mail", "bracket_at", "mail_shape", "ip_shape", "ip_octets", "ip_port", "digits_only", "digits_1_6", "digits_7_9", "digits_10_12", "digits_13_15", "digits_16_19", "digits_20", "luhn", "groups_of_4", "phone_us", "paren", "starts_plus", "dashes", "dots", "spaces", "mixed", "hex32", "aws_id", "upper_digits", "long_random", "hint_key", "hint_phone", "hint_card", "hint_mail", "hint_ip", "ends_sign", "starts_sign", "newline", "letters_only", "cut_left", "cut_right", "quoted", "assign_before", "length_1", "length_many",
 )
+_SIGNS = frozenset("+-.()")
+_JOINTS = frozenset("._%+-@")
 _INDEX = {f: i for i, f in enumerate(_FEATURES)}
 _IP_LIKE = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _US = re.compile(r"\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}")
@@ -224,13 +233,48 @@ class Model:
 
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[dict[int, np.ndarray]]:
-    """For each first token: end token to the active features of that segment."""
+    """For each first token: end token to the active features of that segment.
+
+    Only segments that could have features are looked at: single words of letters and digits, number phrases of up to six
+    groups and 20 digits, addresses between word ends, and spelt-out addresses.
+    """
+    n = len(tokens)
+    words = [text[a:b] for a, b in tokens]
+    number = [w.isascii() and w.isdigit() for w in words]
+    ats = [k for k, w in enumerate(words) if w == "@" or w.lower() == "at"]
     out: list[dict[int, np.ndarray]] = []
-    for i in range(len(tokens)):
+    k = 0
+    for i, word in enumerate(words):
+        ends: list[int] = []
+        if len(word) >= 8 and not number[i]:
+            ends.append(i + 1)
+        if number[i] or word in ("+", "("):
+            digits = groups = 0
+            dots = False
+            for j in range(i, min(n, i + MAX_TOKENS)):
+                if j > i and tokens[j][0] - tokens[j - 1][1] > 1:
+                    break
+                if number[j]:
+                    digits += len(words[j])
+                    groups += 1
+                    if groups > 6 or digits > 20 and groups > 1:
+                        break
+                    if digits >= 7 or dots and digits >= 4:
+                        ends.append(j + 1)
+                elif words[j] not in _SIGNS:
+                    break
+                else:
+                    dots |= words[j] == "."
+        while k < len(ats) and ats[k] <= i:
+            k += 1
+        if k < len(ats) and ats[k] - i <= 6 and word not in "@[(])" and (i == 0 or tokens[i - 1][1] < tokens[i][0] or words[i - 1] not in _JOINTS and not words[i - 1].isalnum()):
+            for j in range(ats[k] + 1, min(n, i + MAX_TOKENS)):
+                if tokens[j][0] - tokens[j - 1][1] > 1:
+                    break
+                if words[j].isalnum() and (j + 1 == n or tokens[j + 1][0] > tokens[j][1] or words[j + 1] not in _JOINTS):
+                    ends.append(j + 1)
         found = {}
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 2:
-                break
+        for j in ends:
             if active := features(text, tokens, i, j):
                 found[j] = np.array(active)
         out.append(found)
@@ -296,7 +340,7 @@ def train(sentences: int = 120, rounds: int = 25, rate: float = 0.25, ridge: flo
     data = []
     while len(data) < sentences:
         text, spans = _generated(rng)
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        tokens = tokenise(text, 0, len(text))
         starts, ends = {a: k for k, (a, _) in enumerate(tokens)}, {b: k + 1 for k, (_, b) in enumerate(tokens)}
         if any(a not in starts or b not in ends or ends[b] - starts[a] > MAX_TOKENS for _, a, b in spans):
             continue
@@ -379,15 +423,8 @@ def _stretch(text: str, low: int, high: int, model: Model) -> list[tuple[str, in
         high += 1
     if not re.search(r"[0-9]{3}|[0-9][ .()-]+[0-9]|@|\bdot\b|[A-Z0-9]{16}", text[low:high], re.I):
         return []
-    tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
-    # hash-like words of letters and digits are one token
-    merged: list[tuple[int, int]] = []
-    for a, b in tokens:
-        if merged and merged[-1][1] == a and text[a:b].isalnum() and text[merged[-1][0] : a].isalnum():
-            merged[-1] = (merged[-1][0], b)
-        else:
-            merged.append((a, b))
-    return [(KINDS[y], merged[i][0], merged[j - 1][1]) for y, i, j in model.segments(text, merged)]
+    tokens = tokenise(text, low, high)
+    return [(KINDS[y], tokens[i][0], tokens[j - 1][1]) for y, i, j in model.segments(text, tokens)]
 
 
 def find(text: str | None, model: Model) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe_encode, html_text, language_id, pii, token_counts
+from cairn.llm import bpe_encode, html_text, language_id, near_dup, pii, token_counts
 from cairn.llm.frames import table
 
 
@@ -20,6 +20,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_html_text": op3_html_text,
+    "op4_near_duplicates": op4_near_duplicates,
     "op8_personal_data": op8_personal_data,
     "op10_token_counts": op10_token_counts,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe_encode, html_text, language_id, near_dup, pii, token_counts
+from cairn.llm import bpe_encode, html_text, language_id, near_dup, pii, substring_dup, token_counts
 from cairn.llm.frames import table
 
 
@@ -24,6 +24,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op5_substring_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_html_text": op3_html_text,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_substring_duplicates": op5_substring_duplicates,
     "op8_personal_data": op8_personal_data,
     "op10_token_counts": op10_token_counts,
 }

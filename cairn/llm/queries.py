@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe_encode, html_text, language_id, line_dup, near_dup, pii, substring_dup, token_counts
+from cairn.llm import bpe_encode, decontaminate, html_text, language_id, line_dup, near_dup, pii, substring_dup, token_counts
 from cairn.llm.frames import table
 
 
@@ -28,6 +28,10 @@ def op5_substring_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dup.digests(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_substring_duplicates": op5_substring_duplicates,
+    "op6_decontaminate": op6_decontaminate,
     "op7_line_runs": op7_line_runs,
     "op8_personal_data": op8_personal_data,
     "op10_token_counts": op10_token_counts,

@@ -22,8 +22,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) of every node with an edge; the label is the smallest node of its component.
+def components(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of every node with an edge, where the label is the smallest node of its component; and the stars (u, v).
 
     ``edges`` has long columns u and v. Ends when every node points at its label; the number of steps grows with the
     logarithm of the longest path, and each step moves at most as many rows as there are edges.
@@ -41,4 +41,4 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         state = tuple(seen)
     labels = now.groupBy("u").agg(F.min("v").alias("label"))
-    return scratch.write(labels.select(F.col("u").alias("node"), "label").union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    return scratch.write(labels.select(F.col("u").alias("node"), "label").union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())), now

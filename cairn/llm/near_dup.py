@@ -4,12 +4,12 @@
 2. One hash permutation fills ``BANDS * ROWS`` bins with the least hash of each; an empty bin takes the value of the first
    filled bin of its own random order of bins (optimal densification: no second look at the text, and borrowed values stay
    independent between bins).
-3. Bands of ``ROWS`` bins are bucket keys. In every bucket the smallest and the largest document are hubs: each other
-   document is a candidate of the hubs only, so that pair counts follow the number of documents and not its square.
+3. Bands of ``ROWS`` bins are bucket keys. In every bucket the smallest document is the hub: each other document is a
+   candidate of the hub only, so that pair counts follow the number of documents and not its square.
 4. Candidates are confirmed on full sets; confirmed links join components.
-5. Buckets whose other members are not yet of one component go through 3 and 4 again without the old hubs, comparing only
-   documents of different components, until no bucket has two components left to compare. No pair that shares a bucket is
-   left out for good, so every link that any bucket holds is honoured.
+5. Only buckets whose other members are not yet of one component go through 3 and 4 again, with the next ``GROWTH`` times
+   as many documents as hubs and comparing only documents of different components, until no bucket has two components left
+   to compare. No pair that shares a bucket is left out for good, so every link that any bucket holds is honoured.
 
 A pair at the threshold of 0.8 shares none of the 48 buckets with probability 5e-7, and less above it.
 
@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
@@ -38,6 +38,7 @@ BANDS, ROWS = 48, 6
 SHINGLE = 5
 PERCENT = 80
 GROUP = 64
+GROWTH = 4
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -137,54 +138,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = scratch.write(sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
     reps = sets.join(alike, ["set_a", "set_b"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands")
     banded = scratch.write(reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key")))
-    shared = scratch.write(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    shared = scratch.write(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("na")).where("c > 1").drop("c"))
     members = scratch.write(banded.join(shared, "key"))
     scratch.drop(banded, shared)
     known = scratch.write(texts.join(members.select("doc_id").distinct(), "doc_id"))
-    links, labels, tested = [], None, []
+    sized = F.least("n", "na") * 100 >= percent * F.greatest("n", "na")
+    pairs = members.where((F.col("doc_id") != F.col("a")) & sized)
+    members = members.where("doc_id <> a").select("key", "doc_id", "n")
+    labels, stars, tested, low, high = None, None, [], 0, 0
     while True:
-        ends = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        pairs = None
-        with_ends = members.join(scratch.write(ends.where("low < high")), "key")
-        hub_n = members.select(F.col("doc_id").alias("a"), F.col("n").alias("na")).distinct()
-        for end in ("low", "high"):
-            some = with_ends.where(F.col("doc_id") != F.col(end)).select(F.col(end).alias("a"), F.col("doc_id").alias("b"), "n", *(["label"] if labels is not None else []))
-            pairs = some if pairs is None else pairs.union(some)
-        pairs = pairs.distinct().join(hub_n, "a").where((F.least("n", "na") * 100) >= percent * F.greatest("n", "na"))
-        if labels is not None:
-            hub_label = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-            pairs = pairs.join(hub_label, "a", "left").where(F.coalesce("la", "a") != F.coalesce("label", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a"), F.max("b").alias("b0")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+        pairs = pairs.select("a", F.col("doc_id").alias("b")).distinct()
         for old in tested:
-            pairs = pairs.join(old.select(F.least("a", "b").alias("ox"), F.greatest("a", "b").alias("oy")), (F.least("a", "b") == F.col("ox")) & (F.greatest("a", "b") == F.col("oy")), "left_anti")
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
-        if pairs.isEmpty():
-            if labels is None or members.isEmpty():
-                break
-        else:
-            tested.append(pairs)
-            found = scratch.write(confirmed(pairs, known, shingle, percent))
-            links.append(found)
-        edges = links[0] if links else None
-        for more in links[1:]:
-            edges = edges.union(more)
-        if edges is not None:
-            labels = components(edges, scratch)
-        else:
-            labels = df.sparkSession.createDataFrame([], "node long, label long")
-        # without the hubs, what buckets still hold two components?
-        rest = with_ends.where("doc_id <> low and doc_id <> high").select("key", "doc_id", "n")
-        rest = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-        rest = scratch.write(rest)
-        mixed_keys = scratch.write(rest.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key"))
-        members = scratch.write(rest.join(mixed_keys, "key"))
+        tested.append(pairs)
+        links = confirmed(pairs, known, shingle, percent)
+        labels, stars = components(links if stars is None else links.union(stars), scratch)
+        # past the hubs so far, what buckets still hold two components?
+        rest = members if not high else members.where(F.col("r") > high).drop("label")
+        rest = scratch.write(rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+        several = scratch.write(rest.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key"))
+        members = rest.join(several, "key")
+        if not high:
+            members = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
+        members = scratch.write(members)
         if members.isEmpty():
             break
+        low, high = high, max(1, high + GROWTH * (high - low))
+        hubs = members.where(F.col("r").between(low + 1, high)).select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("label").alias("la"))
+        pairs = members.join(hubs, "key").where((F.col("r") > F.col("ra")) & (F.col("label") != F.col("la")) & sized)
     out = sets.join(alike, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
+    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -78,6 +78,11 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("th"), "doc_id", "text")
 
 
+def _own_key(ord_: int, th: int) -> np.ndarray:
+    """A key of the document's own, so that rows which need no comparing are dealt evenly, copies of one text too."""
+    return mixed(np.array([ord_], dtype=np.int64).view(np.uint64) ^ mixed(np.array([th], dtype=np.int64).view(np.uint64))).view(np.int64)
+
+
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     """(k, h, ord, th, known): a row for each distinct anchor, or its hash in ``known`` if the task has seen it twice before."""
 
@@ -103,7 +108,7 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
                 ths.append(np.full(len(fresh), th))
                 knowns += [None] * len(fresh)
                 if known.any():
-                    ks.append(np.array([th]))
+                    ks.append(_own_key(o, th))
                     hs.append(np.array([0]))
                     os.append(np.array([o]))
                     ths.append(np.array([th]))
@@ -156,7 +161,7 @@ def _window_rows(near: DataFrame, window: int) -> DataFrame:
                 ss.append(fresh)
                 runs += [None] * len(fresh)
                 if earlier.any():
-                    ks.append(np.array([th]))
+                    ks.append(_own_key(o, th))
                     os.append(np.array([o]))
                     ths.append(np.array([th]))
                     ss.append(np.array([-1]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cairn-checkpoints"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def reach_from_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver does, whatever folder the driver was started in.
+
+    Only functions sent after the call are concerned. A cluster that installs the package elsewhere is not affected.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import reach_from_workers
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone (the folder may be in a store only Spark can open)."""
+    reach_from_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe_encode, decontaminate, html_text, language_id, line_dup, near_dup, pii, substring_dup, token_counts
+from cairn.llm import bpe_encode, decontaminate, html_text, language_id, line_dup, near_dup, pii, substring_dup, token_counts, vector_forest
 from cairn.llm.frames import table
 
 
@@ -40,6 +40,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_line_runs": op7_line_runs,
     "op8_personal_data": op8_personal_data,
+    "op9_vector_forest": op9_vector_forest,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -72,7 +72,7 @@ def line_runs_removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = F.filter("starts", lambda x, i: (i == F.size("starts") - 1) | (F.element_at("starts", F.least(i + 2, F.size("starts"))) > x + min_run))
     runs = gone.select(*_KEYS, F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + min_run - 1).alias("b"))).alias("__runs"))
     keyed = df.withColumns({"__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__th": F.xxhash64(F.col(text_col).cast("string"))})
-    out = keyed.join(runs, _KEYS, "left")
+    out = keyed.join(runs.hint("merge"), _KEYS, "left")  # one plan for every size of input
 
     def cut(lines):
         """Kept stretches of lines; lambda variables keep each array from being made anew for every element."""

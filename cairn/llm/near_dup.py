@@ -4,12 +4,15 @@
 2. One hash permutation fills ``BANDS * ROWS`` bins with the least hash of each; an empty bin takes the value of the first
    filled bin of its own random order of bins (optimal densification: no second look at the text, and borrowed values stay
    independent between bins).
-3. Bands of ``ROWS`` bins are bucket keys. In every bucket the smallest document is the hub: each other document is a
-   candidate of the hub only, so that pair counts follow the number of documents and not its square.
+3. Bands of ``ROWS`` bins are bucket keys. In every bucket the document that sits in the largest buckets over all is the
+   hub: each other document is a candidate of the hub only, so that pair counts follow the number of documents and not its
+   square.
 4. Candidates are confirmed on full sets; confirmed links join components.
-5. Only buckets whose other members are not yet of one component go through 3 and 4 again, with the next ``GROWTH`` times
-   as many documents as hubs and comparing only documents of different components, until no bucket has two components left
-   to compare. No pair that shares a bucket is left out for good, so every link that any bucket holds is honoured.
+5. Buckets whose members are not yet of one component are looked at again: pairs of different components, one of them
+   outside the bucket's largest one, are weighed by odd sketches (parities of the hashes in each of ``2**k`` places). The
+   places in which two sketches differ are at most as many as the shingles in which the sets differ, so that a pair beyond
+   the threshold by its sketches is beyond it for sure; all others are confirmed on full sets. No pair that shares a bucket
+   and could be a link is left out, so every link that any bucket holds is honoured.
 
 A pair at the threshold of 0.8 shares none of the 48 buckets with probability 5e-7, and less above it.
 
@@ -26,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
@@ -38,8 +41,8 @@ BANDS, ROWS = 48, 6
 SHINGLE = 5
 PERCENT = 80
 GROUP = 64
-GROWTH = 4
-SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SKETCH_MOST = 256
+SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
 
 
 @lru_cache(maxsize=4)
@@ -82,12 +85,27 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the hashes in each place, as 64-bit words: about three places a hash, in powers of two."""
+    words = min(SKETCH_MOST, max(4, 1 << (3 * len(hashes) // 64).bit_length()))
+    counts = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def apart(x: str, y: str) -> Column:
+    """In how many places two sketches differ; the longer one is folded onto the shorter, once at most (sizes are close)."""
+    fold = "transform(slice({0}, 1, size({1})), (v, i) -> v ^ element_at({0}, i + 1 + size({1})))"
+    one = f"CASE WHEN size({x}) > size({y}) THEN {fold.format(x, y)} ELSE {x} END"
+    other = f"CASE WHEN size({y}) > size({x}) THEN {fold.format(y, x)} ELSE {y} END"
+    return F.expr(f"aggregate(zip_with({one}, {other}, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k)")
+
+
 def signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands) from (doc_id, text); set_a and set_b are a hash of the whole set."""
+    """(doc_id, n_shingles, set_a, set_b, bands, odd) from (doc_id, text); set_a and set_b are a hash of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, a, b, keys = [], [], [], []
+            sizes, a, b, keys, odds = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text, shingle)
                 whole = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64)
@@ -95,7 +113,8 @@ def signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> Data
                 a.append(int(whole[0]))
                 b.append(int(whole[1]))
                 keys.append(band_keys(h, bands, per_band) if len(h) else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                odds.append(odd_sketch(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "odd"])
 
     return rows.mapInArrow(run, SIGNATURES)
 
@@ -138,35 +157,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = scratch.write(sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
     reps = sets.join(alike, ["set_a", "set_b"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands")
     banded = scratch.write(reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key")))
-    shared = scratch.write(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("na")).where("c > 1").drop("c"))
-    members = scratch.write(banded.join(shared, "key"))
-    scratch.drop(banded, shared)
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = banded.join(shared, "key").withColumn("w", F.sum("c").over(Window.partitionBy("doc_id"))).drop("c")
+    members = scratch.write(members)
+    scratch.drop(banded)
     known = scratch.write(texts.join(members.select("doc_id").distinct(), "doc_id"))
-    sized = F.least("n", "na") * 100 >= percent * F.greatest("n", "na")
-    pairs = members.where((F.col("doc_id") != F.col("a")) & sized)
-    members = members.where("doc_id <> a").select("key", "doc_id", "n")
-    labels, stars, tested, low, high = None, None, [], 0, 0
-    while True:
-        pairs = pairs.select("a", F.col("doc_id").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
-        tested.append(pairs)
-        links = confirmed(pairs, known, shingle, percent)
-        labels, stars = components(links if stars is None else links.union(stars), scratch)
-        # past the hubs so far, what buckets still hold two components?
-        rest = members if not high else members.where(F.col("r") > high).drop("label")
-        rest = scratch.write(rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-        several = scratch.write(rest.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key"))
-        members = rest.join(several, "key")
-        if not high:
-            members = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-        members = scratch.write(members)
-        if members.isEmpty():
-            break
-        low, high = high, max(1, high + GROWTH * (high - low))
-        hubs = members.where(F.col("r").between(low + 1, high)).select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("label").alias("la"))
-        pairs = members.join(hubs, "key").where((F.col("r") > F.col("ra")) & (F.col("label") != F.col("la")) & sized)
+    sized = lambda n, m: F.least(n, m) * 100 >= percent * F.greatest(n, m)
+    # the hub of a bucket: of most weight, then of least id
+    hubs = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("m"), "n")).alias("hub")).select("key", (-F.col("hub.m")).alias("a"), F.col("hub.n").alias("na"))
+    pairs = members.join(hubs, "key").where((F.col("doc_id") != F.col("a")) & sized(F.col("n"), F.col("na"))).select("a", F.col("doc_id").alias("b"))
+    tested = scratch.write(pairs.distinct())
+    labels, stars = components(confirmed(tested, known, shingle, percent), scratch)
+    # buckets that still hold two components
+    labelled = scratch.write(members.drop("w").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    several = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("major"))
+    open_ = labelled.join(several.where("labels > 1").drop("labels"), "key")
+    open_ = scratch.write(open_.join(sets.select("doc_id", "odd"), "doc_id"))
+    one = open_.where("label <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "label", "odd")))
+    close = apart("x_odd", "odd") * (100 + percent) <= (F.col("x_n") + F.col("n")) * (100 - percent)
+    once = (F.col("label") == F.col("major")) | (F.col("x_doc_id") < F.col("doc_id"))
+    more = one.join(open_, "key").where((F.col("x_label") != F.col("label")) & once & sized(F.col("x_n"), F.col("n")) & close)
+    unordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    more = more.select(*unordered("x_doc_id", "doc_id")).distinct().join(tested.select(*unordered("a", "b")), ["a", "b"], "left_anti")
+    more = scratch.write(more)
+    if not more.isEmpty():
+        labels, _ = components(confirmed(more, known, shingle, percent).union(stars), scratch)
+    scratch.drop(members, labelled, open_)
     out = sets.join(alike, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))

@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Texts and benchmark items are cut into words. Numbers, names (capitalised words inside a sentence) and units after a number
-become typed placeholders, all else is lower-cased, so that a question with other numbers or names in it has the template
-of the original. Windows of ``WINDOW`` template words (for shorter items of at least ``SHORTEST`` words: the whole item) are
-hash-joined with those of the benchmark. Each match lies on a diagonal, the distance between the places in document and
-item; on a diagonal the slots must be filled consistently: one value of the item stands for one value of the document
-throughout. A document is contaminated by an item if a diagonal is consistent, has a window, and covers at least
-``LITERAL`` words that are no placeholders.
+Texts and benchmark items are cut into words. Numbers, names (capitalised words inside a sentence, but not words in capitals
+throughout, as texts can be shouted) and units after a number become typed placeholders, all else is lower-cased, so that a
+question with other numbers or names in it has the template of the original. Windows of ``WINDOW`` template words (for
+shorter items of at least ``SHORTEST`` words: the whole item) are hash-joined with those of the benchmark. Each match lies
+on a diagonal, the distance between the places in document and item; on a diagonal the slots must be filled consistently:
+one value of the item stands for one value of the document. Windows that fill a slot otherwise than most of the diagonal are
+put aside, so that a stray slot next to a passage does not hide it. A document is contaminated by an item if the consistent
+windows of a diagonal cover at least ``LITERAL`` words that are no placeholders.
 
 The benchmark's windows are broadcast only while there are at most ``BROADCAST_WINDOWS`` of them, which is counted; beyond
 that the join is a shuffle. Windows of the corpus are made and joined in one pass, only matches move.
@@ -59,7 +60,7 @@ def template(raw: Column) -> Column:
         return (
             F.when(digit, F.lit(NUMBER))
             .when(low == x, F.when((i > 0) & low.isin(*UNITS) & F.element_at(raw, F.greatest(i, F.lit(1))).rlike(r"\p{N}$"), F.lit(UNIT)).when(F.lower(head) != F.upper(head), x).otherwise(_first(x)))
-            .when(F.lower(head) != head, F.lit(NAME))
+            .when(F.lower(head) != head, F.when(F.upper(x) == x, low).otherwise(F.lit(NAME)))
             .otherwise(_first(x))
         )
 
@@ -109,23 +110,28 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     mine = docs.select(*_KEYS, F.explode(window_keys(F.col("__text"), sizes)).alias("x")).select(*_KEYS, "x.at", "x.k", "x.w")
     near = scratch.write(mine.join(F.broadcast(distinct) if count <= BROADCAST_WINDOWS else distinct, ["k", "w"], "left_semi").distinct())
     hits = near.join(keys, ["k", "w"]).select(*_KEYS, "item", "k", "at", (F.col("at") - F.col("iat")).alias("diagonal"))
-    # the words that a diagonal covers, as runs of windows; each place once
-    places = hits.select(*_KEYS, "item", "diagonal", F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("p")).distinct()
-    covered = places.groupBy(*_KEYS, "item", "diagonal").agg(F.sort_array(F.collect_list("p")).alias("places"))
-    windows = hits.groupBy(*_KEYS, "item", "diagonal").agg(F.count("*").alias("windows"))
-    found = scratch.write(covered.join(windows, [*_KEYS, "item", "diagonal"]))
+    found = scratch.write(hits.groupBy(*_KEYS, "item", "diagonal", "k").agg(F.sort_array(F.collect_set("at")).alias("ats")))
     some = docs.join(found.select(*_KEYS).distinct(), _KEYS, "left_semi").distinct()
     raw = lambda c: F.transform(words(F.col(c)), bare)
     texts = scratch.write(some.select(*_KEYS, raw("__text").alias("raw"), _bound(words(F.col("__text")), template).alias("template")))
     originals = scratch.write(items.select("item", raw("itext").alias("iraw")))
     slots = found.join(texts, _KEYS).join(originals, "item")
     place = lambda a, p: F.element_at(a, p + 1)
-    slotted = F.filter("places", lambda p: place(F.col("template"), p).isin(NUMBER, NAME, UNIT))
-    filled = F.transform(slotted, lambda p: F.struct(place(F.col("iraw"), p - F.col("diagonal")).alias("a"), place(F.col("raw"), p).alias("b")))
-    pairs = F.array_distinct(filled)
-    slots = slots.select(*_KEYS, "item", "windows", (F.size("places") - F.size(slotted)).alias("literal"), pairs.alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    return slots.where(consistent & (F.col("literal") >= literal)).groupBy(*_KEYS, "item").agg(F.sum("windows").alias("windows"))
+    covered = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda s: F.sequence(s, s + F.col("k") - 1))))
+    is_slot = lambda p: place(F.col("template"), p).isin(NUMBER, NAME, UNIT)
+    filled = F.transform(F.filter(covered(F.col("ats")), is_slot), lambda p: F.struct(p.alias("p"), place(F.col("iraw"), p - F.col("diagonal")).alias("a"), place(F.col("raw"), p).alias("b")))
+    slots = slots.withColumn("filled", filled)
+    # what each value of the item stands for most often (on ties: for itself); windows with another value in it do not count
+    votes = lambda x: F.transform(F.filter("filled", lambda q: q["a"] == x), lambda q: q["b"])
+    ranked = lambda x, bs: F.array_max(F.transform(F.array_distinct(bs), lambda y: F.struct(F.size(F.filter(bs, lambda z: z == y)).alias("n"), (y == x).alias("same"), y.alias("b"))))
+    meant = F.transform(F.array_distinct(F.transform("filled", lambda q: q["a"])), lambda x: F.struct(x.alias("a"), _bound(votes(x), lambda bs: ranked(x, bs))["b"].alias("b")))
+    slots = slots.withColumn("meant", meant)
+    odd = F.transform(F.filter("filled", lambda q: ~F.array_contains("meant", F.struct(q["a"].alias("a"), q["b"].alias("b")))), lambda q: q["p"])
+    slots = slots.withColumn("odd", odd)
+    good = F.filter("ats", lambda s: ~F.exists("odd", lambda p: (p >= s) & (p < s + F.col("k"))))
+    slots = slots.withColumn("good", good)
+    literal_words = F.size(F.filter(covered(F.col("good")), lambda p: ~is_slot(p)))
+    return slots.where((F.size("good") > 0) & (literal_words >= literal)).groupBy(*_KEYS, "item").agg(F.sum(F.size("good")).cast("long").alias("windows"))
 
 
 def contamination(

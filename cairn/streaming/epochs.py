@@ -86,7 +86,7 @@ def lease_step(state: tuple[int, int] | None, at: int, change: bool, duration: i
 def leases(calls: DataFrame, duration: int) -> DataFrame:
     """(name, at, seq, due, granted) for a stream of (name, at, change); the state of a name goes once its lease is long due.
 
-    ``at`` is in microseconds and given with the call, so that results do not depend on the clock.
+    ``at`` is in microseconds and given with the call: it is the event time too, so that results do not depend on the clock.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,13 +94,14 @@ def leases(calls: DataFrame, duration: int) -> DataFrame:
             state.remove()
             return
         held = state.get if state.exists else None
-        calls_ = pd.concat(list(batches)).sort_values(["at", "change"])
+        some = pd.concat(list(batches)).sort_values(["at", "change"])
         rows = []
-        for at, change in zip(calls_["at"], calls_["change"], strict=True):
+        for at, change in zip(some["at"], some["change"], strict=True):
             held, granted = lease_step(held, int(at), bool(change), duration)
             rows.append((key[0], int(at), held[0], held[1], granted))
         state.update(held)
-        state.setTimeoutDuration(max(1, duration // 1000) * 10)
+        state.setTimeoutTimestamp(max((held[1] + 10 * duration) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=["name", "at", "seq", "due", "granted"])
 
-    return calls.groupBy("name").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = calls.select("name", "at", "change", F.timestamp_micros("at").alias("t")).withWatermark("t", f"{max(1, duration // 1000)} milliseconds")
+    return timed.groupBy("name").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -40,11 +40,11 @@ def test_lease_step(state, at, change, want):
 
 def test_leases_stream(spark, tmp_path):
     source = str(tmp_path / "in")
-    spark.createDataFrame(pd.DataFrame({"name": ["a", "a", "a", "b"], "at": [0, 5, 20, 1], "change": [False, True, True, True]})).coalesce(1).write.parquet(source)
+    spark.createDataFrame(pd.DataFrame({"name": ["a", "a", "a", "b"], "at": [1_000_000, 1_000_005, 1_000_020, 1_000_001], "change": [False, True, True, True]})).coalesce(1).write.parquet(source)
     calls = spark.readStream.schema("name string, at long, change boolean").parquet(source)
     q = epochs.leases(calls, 10).writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = sorted((r.name, r.at, r.seq, r.granted) for r in spark.table("leases").collect())
+    got = sorted((r.name, r.at - 1_000_000, r.seq, r.granted) for r in spark.table("leases").collect())
     assert got == [("a", 0, 0, True), ("a", 5, 0, False), ("a", 20, 1, True), ("b", 1, 1, True)]
 
 

@@ -102,8 +102,10 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     """(__id, __th, item, windows): documents that hold an item, and in how many windows."""
     items = scratch.write(_items(benchmark, item_col, item_text_col, window, shortest))
     sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()] or [window]  # at most window - shortest + 1
-    keys = items.select("item", F.col("k").alias("own"), F.explode(window_keys(F.col("itext"), sizes)).alias("x")).where("x.k = own")
-    keys = scratch.write(keys.select("item", F.col("x.at").alias("iat"), "x.k", "x.w"))
+    # texts in capitals or in small letters throughout show no names: items are indexed in those forms too
+    forms = items.select("item", "k", F.explode(F.array("itext", F.upper("itext"), F.lower("itext"))).alias("itext"))
+    keys = forms.select("item", F.col("k").alias("own"), F.explode(window_keys(F.col("itext"), sizes)).alias("x")).where("x.k = own")
+    keys = scratch.write(keys.select("item", F.col("x.at").alias("iat"), "x.k", "x.w").distinct())
     count = keys.count()
     distinct = keys.select("k", "w").distinct()
     docs = df.select(_id(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn("__th", F.xxhash64("__text"))

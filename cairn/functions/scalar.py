@@ -44,6 +44,7 @@ def rotated_folder(epoch: Column) -> Column:
     return F.format_string("T-%04x", epoch)
 
 
+# The prefix is a fixed value of the format.
 def folder_name(key: Column) -> Column:
     return F.concat(F.lit("PlfsDir_"), F.hex(key))
 

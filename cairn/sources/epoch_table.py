@@ -91,7 +91,7 @@ class EpochWriter:
 
     def _check(self, epoch: int) -> None:
         if self.done:
-            raise AssertionFailed("Plfsdir already finished")
+            raise AssertionFailed("the table is already finished")
         if epoch not in (-1, self.epoch):
             raise AssertionFailed("Bad epoch num")
 

@@ -2,10 +2,11 @@
 
 Lines are cut at ``\\n`` and compared without surrounding blanks; blank lines do not count. A run of ``min_run`` lines goes
 if the same run stands earlier: in a document of smaller id, or further up in the same document. Longer repeated runs go
-whole, as each of their windows is such a run.
+whole, as each of their windows is such a run. With ``long_line`` a single line of at least so many words goes as well if
+it stands earlier, whatever its neighbours; shorter lines still need a repeated neighbour.
 
 1. Winnowing: of every window of ``min_run`` lines the least hash is a fingerprint. Equal windows have equal fingerprints,
-   so every repeated run is guaranteed to share one.
+   so every repeated run is guaranteed to share one. A long line is a window of its own.
 2. Fingerprints that occur more than once in the corpus are joined back to the windows.
 3. Matches extend both ways as the windows around shared fingerprints; the earliest place of each window stays.
 4. The union of the later windows is cut out of the texts.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from cairn.llm.storage import Scratch
 
 MIN_RUN = 2
+LONG_LINE = 6
 LAST = (1 << 63) - 1
 _KEYS = ["__ord", "__th"]
 
@@ -37,40 +39,51 @@ def _filled(lines):
     return F.filter(placed, lambda s: s["x"] != "")
 
 
-def repeated_runs(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_run: int) -> DataFrame:
-    """(__ord, __th, starts): sorted first lines, counted without blank ones, of the windows that stand earlier."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("__ord"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"), F.transform(_filled(_lines(text_col)), lambda s: F.xxhash64(s["x"])).alias("h"))
-    hashed = scratch.write(rows.where(F.size("h") >= min_run))
-    starts = F.sequence(F.lit(1), F.size("h") - (min_run - 1))
-    window = lambda s: F.slice("h", s, min_run)
+def repeated_runs(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_run: int, long_line: int | None = None) -> DataFrame:
+    """(__ord, __th, gone): sorted lines, counted without blank ones, of the windows that stand earlier."""
+
+    def hashes(filled):
+        words = lambda s: F.regexp_count(s["x"], F.lit(r"\S+"))
+        long = F.filter(F.transform(filled, lambda s, i: F.when(words(s) >= long_line, i + 1)), lambda p: p.isNotNull()) if long_line else F.array().cast("array<int>")
+        return F.struct(F.transform(filled, lambda s: F.xxhash64(s["x"])).alias("h"), long.alias("long"))
+
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("__ord"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"), F.transform(F.array(_filled(_lines(text_col))), hashes)[0].alias("x"))
+    hashed = scratch.write(rows.select(*_KEYS, "x.h", "x.long").where((F.size("h") >= min_run) | (F.size("long") > 0)))
+    starts = F.when(F.size("h") >= min_run, F.sequence(F.lit(1), F.size("h") - (min_run - 1))).otherwise(F.array().cast("array<int>"))
+    window = lambda s, k: F.slice("h", s, k)
+    windows = lambda starts, k: F.transform(starts, lambda s: F.struct((s - 1).alias("s"), F.lit(k).alias("k"), F.xxhash64(window(s, k)).alias("w"), F.array_min(window(s, k)).alias("f")))
+    least = F.transform(starts, lambda s: s + F.array_position(window(s, min_run), F.array_min(window(s, min_run))).cast("int") - 1)
     marks = scratch.write(
         hashed.select(
             *_KEYS,
-            F.transform(starts, lambda s: F.struct((s - 1).alias("s"), F.xxhash64(window(s)).alias("w"), F.array_min(window(s)).alias("f"))).alias("windows"),
-            F.transform(F.array_distinct(F.transform(starts, lambda s: s + F.array_position(window(s), F.array_min(window(s))).cast("int") - 1)), lambda p: F.element_at("h", p)).alias("fingerprints"),
+            F.concat(windows(starts, min_run), windows(F.col("long"), 1)).alias("windows"),
+            F.transform(F.array_distinct(F.concat(least, F.col("long"))), lambda p: F.element_at("h", p)).alias("fingerprints"),
         )
     )
     shared = scratch.write(marks.select(F.explode("fingerprints").alias("f")).groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f"))
-    near = marks.select(*_KEYS, F.explode("windows").alias("x")).select(*_KEYS, "x.s", "x.w", "x.f").join(shared, "f", "left_semi")
-    places = scratch.write(near.groupBy(*_KEYS, "w").agg(F.sort_array(F.collect_set("s")).alias("at")))
+    near = marks.select(*_KEYS, F.explode("windows").alias("x")).select(*_KEYS, "x.s", "x.k", "x.w", "x.f").join(shared, "f", "left_semi")
+    places = scratch.write(near.groupBy(*_KEYS, "w").agg(F.max("k").alias("k"), F.sort_array(F.collect_set("s")).alias("at")))
     first = scratch.write(places.groupBy("w").agg(F.min("__ord").alias("first"), F.max("__ord").alias("last")).where("first < last"))
-    later = places.join(first, "w", "left").select(*_KEYS, F.when(F.col("first") < F.col("__ord"), F.col("at")).otherwise(F.slice("at", F.lit(2), F.size("at"))).alias("at"))
-    out = later.where(F.size("at") > 0).groupBy(*_KEYS).agg(F.collect_list("at").alias("at")).select(*_KEYS, F.sort_array(F.array_distinct(F.flatten("at"))).alias("starts"))
+    later = places.join(first, "w", "left").select(*_KEYS, "k", F.when(F.col("first") < F.col("__ord"), F.col("at")).otherwise(F.slice("at", F.lit(2), F.size("at"))).alias("at"))
+    lines = F.flatten(F.transform("at", lambda s: F.sequence(s, s + F.col("k") - 1)))
+    out = later.where(F.size("at") > 0).groupBy(*_KEYS).agg(F.collect_list(lines).alias("at")).select(*_KEYS, F.sort_array(F.array_distinct(F.flatten("at"))).alias("gone"))
     out = scratch.write(out)
     scratch.drop(hashed, marks, shared, places, first)
     return out
 
 
-def line_runs_removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def line_runs_removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, long_line: int | None = None) -> DataFrame:
     """The rows of ``df`` with their text after removal, plus ``n_lines`` and ``n_removed`` (lines that are not blank)."""
     if min_run < 1:
         raise ValueError("a run has one line at least")
+    if long_line is not None and long_line < 1:
+        raise ValueError("a long line has one word at least")
     scratch = Scratch(df.sparkSession, "line-dup")
-    gone = repeated_runs(df, scratch, id_col, text_col, min_run)
+    gone = repeated_runs(df, scratch, id_col, text_col, min_run, long_line)
     # runs of overlapping or touching windows, as first and last line
-    first = F.filter("starts", lambda x, i: (i == 0) | (x > F.element_at("starts", F.greatest(i, F.lit(1))) + min_run))
-    last = F.filter("starts", lambda x, i: (i == F.size("starts") - 1) | (F.element_at("starts", F.least(i + 2, F.size("starts"))) > x + min_run))
-    runs = gone.select(*_KEYS, F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + min_run - 1).alias("b"))).alias("__runs"))
+    first = F.filter("gone", lambda x, i: (i == 0) | (x > F.element_at("gone", F.greatest(i, F.lit(1))) + 1))
+    last = F.filter("gone", lambda x, i: (i == F.size("gone") - 1) | (F.element_at("gone", F.least(i + 2, F.size("gone"))) > x + 1))
+    runs = gone.select(*_KEYS, F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("__runs"))
     keyed = df.withColumns({"__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__th": F.xxhash64(F.col(text_col).cast("string"))})
     out = keyed.join(runs.hint("merge"), _KEYS, "left")  # one plan for every size of input
 

@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that stand earlier; those of which no line is left go."""
-    out = line_dup.line_runs_removed(docs)
+    """Documents without the runs of lines, and the single long lines, that stand earlier; those of which no line is left go."""
+    out = line_dup.line_runs_removed(docs, long_line=line_dup.LONG_LINE)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     text_length = F.length("text").cast("long")
     return out.select(*(F.when(F.col("n_removed") > 0, text_length).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

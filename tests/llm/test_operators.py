@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from cairn.llm import bpe_encode, decontaminate, html_text, language_id, line_dup, near_dup, pii, substring_dup, token_counts, vector_forest
 from cairn.llm.shingles import shingle_set
 
@@ -111,6 +112,17 @@ def test_lines(spark, docs):
     assert line_dup.line_runs_removed(docs).count() == len(TEXTS) + 2 and line_dup.digests(docs.limit(0)).count() == 0
 
 
+def test_single_long_lines(spark):
+    long, other = "all of this text may be used by anyone", "one two three four five six"
+    texts = {1: f"a\n{long}\nb", 2: f"c\n  {long}\n\nd", 3: long, 4: f"e\n{other}\nf\n{other}\ng", 5: "a", 6: "h\none two three four five", 7: "one two three four five\ni", 8: f"a\n{long}\nj"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dup.line_runs_removed(rows, long_line=6).collect()}
+    assert got == {1: (texts[1], 0), 2: ("c\n\nd", 1), 3: ("", 1), 4: (f"e\n{other}\nf\ng", 1), 5: ("a", 0), 6: (texts[6], 0), 7: (texts[7], 0), 8: ("j", 2)}
+    assert not any(r.n_removed for r in line_dup.line_runs_removed(rows.where("doc_id < 8 and doc_id != 4")).collect())
+    docs = rows.selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").where("doc_id in (2, 3)").collect()} == {2: "c\n\nd"}
+
+
 ITEM = "If the farmer sells 12 baskets to Anna and 30 baskets to Tom at 5 dollars, how much money does the farmer get in all?"
 
 

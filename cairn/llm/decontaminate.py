@@ -2,7 +2,8 @@
 
 Texts and benchmark items are cut into words. Numbers, names (capitalised words inside a sentence, but not words in capitals
 throughout, as texts can be shouted) and units after a number become typed placeholders, all else is lower-cased, so that a
-question with other numbers or names in it has the template of the original. Windows of ``WINDOW`` template words (for
+question with other numbers or names in it has the template of the original. A capitalised word that begins a sentence may be
+a name or not: in a first template it is lower-cased, in a second it is a name, and both are looked up. Windows of ``WINDOW`` template words (for
 shorter items of at least ``SHORTEST`` words: the whole item) are hash-joined with those of the benchmark. Each match lies
 on a diagonal, the distance between the places in document and item; on a diagonal the slots must be filled consistently:
 one value of the item stands for one value of the document. Windows that fill a slot otherwise than most of the diagonal are
@@ -34,6 +35,8 @@ UNITS = tuple(
 )
 #: A word, with the sign before it if it begins a sentence.
 _WORD = r"(?:^[^\p{L}\p{N}]*|[.!?:\n][^\p{L}\p{N}]*)?(?:\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}'’]*)"
+#: Before a capitalised word that begins a sentence.
+_MARK = "^"
 _KEYS = ["__id", "__th"]
 
 
@@ -51,7 +54,10 @@ def bare(word: Column) -> Column:
 
 
 def template(raw: Column) -> Column:
-    """Placeholder or lower-case form of each word of ``raw`` (a lambda variable, else it is made anew for every word)."""
+    """Placeholder or lower-case form of each word of ``raw`` (a lambda variable, else it is made anew for every word).
+
+    Capitalised words that begin a sentence are marked: ``first_template`` and ``second_template`` differ in these.
+    """
 
     def one(x: Column, i: Column) -> Column:
         head = F.substring(x, 1, 1)
@@ -67,29 +73,49 @@ def template(raw: Column) -> Column:
     def _first(x: Column) -> Column:
         """Words that begin a sentence, and numbers in other digits."""
         plain = bare(x)
-        return F.when(plain.rlike(r"^\p{N}"), F.lit(NUMBER)).otherwise(F.lower(plain))
+        low = F.lower(plain)
+        return F.when(plain.rlike(r"^\p{N}"), F.lit(NUMBER)).when((low != plain) & (F.upper(plain) != plain), F.concat(F.lit(_MARK), low)).otherwise(low)
 
     return F.transform(raw, one)
 
 
+def first_template(marked: Column) -> Column:
+    """Words that begin a sentence are literals."""
+    return F.transform(marked, lambda y: F.when(y.startswith(_MARK), F.substring(y, 2, 1 << 30)).otherwise(y))
+
+
+def second_template(marked: Column) -> Column:
+    """Capitalised words that begin a sentence are names."""
+    return F.transform(marked, lambda y: F.when(y.startswith(_MARK), F.lit(NAME)).otherwise(y))
+
+
 def _bound(value: Column, use) -> Column:
     """``use(value)`` with the value made once for each row."""
     return F.transform(F.array(value), use)[0]
 
 
 def window_keys(text: Column, sizes: list[int]) -> Column:
-    """(place, hash) of every window of each size."""
+    """(place, size, hash in the first template, hash in the second) of every window of each size."""
 
-    def of_size(t: Column, k: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1)))
-        every = F.transform(places, lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), F.xxhash64(F.slice(t, s, k), F.lit(k)).alias("w")))
-        return F.filter(every, lambda x: x["at"] <= F.size(t) - k)
+    def of_size(h: Column, k: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(h["one"]) - (k - 1), F.lit(1)))
+        hashed = lambda form, s: F.xxhash64(F.slice(h[form], s, k), F.lit(k))
+        every = F.transform(places, lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), hashed("one", s).alias("one"), hashed("two", s).alias("two")))
+        return F.filter(every, lambda x: x["at"] <= F.size(h["one"]) - k)
 
-    def of(t: Column) -> Column:
-        parts = [of_size(t, k) for k in sizes]
+    def of(h: Column) -> Column:
+        parts = [of_size(h, k) for k in sizes]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    return _bound(_bound(words(text), template), of)
+    hashes = lambda words: F.transform(words, lambda y: F.xxhash64(y))
+    both = lambda m: F.struct(hashes(first_template(m)).alias("one"), hashes(second_template(m)).alias("two"))
+    return _bound(_bound(_bound(words(text), template), both), of)
+
+
+def _either(x: Column) -> Column:
+    """(form, hash) of a window: form 0 if both templates agree on it, else 1 and 2."""
+    form = lambda n, w: F.struct(F.lit(n).alias("form"), w.alias("w"))
+    return F.when(x["one"] == x["two"], F.array(form(0, x["one"]))).otherwise(F.array(form(1, x["one"]), form(2, x["two"])))
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int, shortest: int) -> DataFrame:
@@ -105,22 +131,28 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     # texts in capitals or in small letters throughout show no names: items are indexed in those forms too
     forms = items.select("item", "k", F.explode(F.array("itext", F.upper("itext"), F.lower("itext"))).alias("itext"))
     keys = forms.select("item", F.col("k").alias("own"), F.explode(window_keys(F.col("itext"), sizes)).alias("x")).where("x.k = own")
-    keys = scratch.write(keys.select("item", F.col("x.at").alias("iat"), "x.k", "x.w").distinct())
+    keys = scratch.write(keys.select("item", F.col("x.at").alias("iat"), "x.k", F.explode(F.array("x.one", "x.two")).alias("w")).distinct())
     count = keys.count()
     distinct = keys.select("k", "w").distinct()
     docs = df.select(_id(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn("__th", F.xxhash64("__text"))
-    mine = docs.select(*_KEYS, F.explode(window_keys(F.col("__text"), sizes)).alias("x")).select(*_KEYS, "x.at", "x.k", "x.w")
+    mine = docs.select(*_KEYS, F.explode(window_keys(F.col("__text"), sizes)).alias("x")).select(*_KEYS, "x.at", "x.k", F.explode(_either(F.col("x"))).alias("y")).select(*_KEYS, "at", "k", "y.form", "y.w")
     near = scratch.write(mine.join(F.broadcast(distinct) if count <= BROADCAST_WINDOWS else distinct, ["k", "w"], "left_semi").distinct())
-    hits = near.join(keys, ["k", "w"]).select(*_KEYS, "item", "k", "at", (F.col("at") - F.col("iat")).alias("diagonal"))
-    found = scratch.write(hits.groupBy(*_KEYS, "item", "diagonal", "k").agg(F.sort_array(F.collect_set("at")).alias("ats")))
+    hits = near.join(keys, ["k", "w"]).select(*_KEYS, "item", "k", "at", "form", (F.col("at") - F.col("iat")).alias("diagonal"))
+    in_form = lambda n: F.sort_array(F.collect_set(F.when(F.col("form").isin(0, n), F.col("at"))))
+    found = hits.groupBy(*_KEYS, "item", "diagonal", "k").agg(in_form(1).alias("one"), in_form(2).alias("two"), F.max("form").alias("most"))
+    by_form = F.array(F.struct(F.lit(1).alias("form"), F.col("one").alias("ats")), F.struct(F.lit(2).alias("form"), F.when(F.col("most") == 2, F.col("two")).otherwise(F.array().cast("array<int>")).alias("ats")))
+    found = scratch.write(found.select(*_KEYS, "item", "diagonal", "k", F.explode(by_form).alias("x")).select(*_KEYS, "item", "diagonal", "k", "x.form", "x.ats").where(F.size("ats") > 0))
     some = docs.join(found.select(*_KEYS).distinct(), _KEYS, "left_semi").distinct()
     raw = lambda c: F.transform(words(F.col(c)), bare)
-    texts = scratch.write(some.select(*_KEYS, raw("__text").alias("raw"), _bound(words(F.col("__text")), template).alias("template")))
+    marked = some.select(*_KEYS, raw("__text").alias("raw"), _bound(words(F.col("__text")), template).alias("marked"))
+    # both are written: as expressions they would be made anew for every word of the lambdas below
+    texts = scratch.write(marked.select(*_KEYS, "raw", _bound(F.col("marked"), first_template).alias("first"), _bound(F.col("marked"), second_template).alias("second")))
     originals = scratch.write(items.select("item", raw("itext").alias("iraw")))
     slots = found.join(texts, _KEYS).join(originals, "item")
+    template_word = lambda p: F.when(F.col("form") == 1, F.element_at("first", p + 1)).otherwise(F.element_at("second", p + 1))
     place = lambda a, p: F.element_at(a, p + 1)
     covered = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda s: F.sequence(s, s + F.col("k") - 1))))
-    is_slot = lambda p: place(F.col("template"), p).isin(NUMBER, NAME, UNIT)
+    is_slot = lambda p: template_word(p).isin(NUMBER, NAME, UNIT)
     filled = F.transform(F.filter(covered(F.col("ats")), is_slot), lambda p: F.struct(p.alias("p"), place(F.col("iraw"), p - F.col("diagonal")).alias("a"), place(F.col("raw"), p).alias("b")))
     slots = slots.withColumn("filled", filled)
     # what each value of the item stands for most often (on ties: for itself); windows with another value in it do not count
@@ -133,7 +165,8 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     good = F.filter("ats", lambda s: ~F.exists("odd", lambda p: (p >= s) & (p < s + F.col("k"))))
     slots = slots.withColumn("good", good)
     literal_words = F.size(F.filter(covered(F.col("good")), lambda p: ~is_slot(p)))
-    return slots.where((F.size("good") > 0) & (literal_words >= literal)).groupBy(*_KEYS, "item").agg(F.sum(F.size("good")).cast("long").alias("windows"))
+    held = slots.where((F.size("good") > 0) & (literal_words >= literal)).groupBy(*_KEYS, "item", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("n"))
+    return held.groupBy(*_KEYS, "item").agg(F.sum("n").cast("long").alias("windows"))
 
 
 def contamination(

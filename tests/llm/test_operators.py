@@ -144,6 +144,19 @@ def test_decontaminate(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+def _found(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["items"] for r in sorted(decontaminate.contamination(docs, bench).collect(), key=lambda r: r.doc_id)]
+
+
+def test_decontaminate_names_at_sentence_starts(spark):
+    item = "Tom has 12 apples and buys 5 more at the shop. Tom then eats 3 of them. How many are left?"
+    anna = item.replace("Tom", "Anna")
+    texts = [item.replace("12", "17"), anna, "Some words here. " + anna, "Well:\n" + anna, "and, " + anna, "Anna has many apples. Anna eats them at the shop."]
+    assert _found(spark, [item], texts) == [[0], [0], [0], [0], [0], []]
+
+
 def test_language(spark):
     english, german = "the cat and the dog went over the hill again", "der hund und die katze gehen nicht über den berg"
     rows = [(i, (english, german)[i % 2] + f" {i}", ("en", "de")[i % 2]) for i in range(80)]

@@ -8,7 +8,8 @@ shorter items of at least ``SHORTEST`` words: the whole item) are hash-joined wi
 on a diagonal, the distance between the places in document and item; on a diagonal the slots must be filled consistently:
 one value of the item stands for one value of the document. Windows that fill a slot otherwise than most of the diagonal are
 put aside, so that a stray slot next to a passage does not hide it. A document is contaminated by an item if the consistent
-windows of a diagonal cover at least ``LITERAL`` words that are no placeholders.
+windows of a diagonal cover at least ``LITERAL`` words that are no placeholders, or the whole item with its own values in
+all slots. The first word of an item is indexed as at the start of a sentence and as inside one.
 
 The benchmark's windows are broadcast only while there are at most ``BROADCAST_WINDOWS`` of them, which is counted; beyond
 that the join is a shuffle. Windows of the corpus are made and joined in one pass, only matches move.
@@ -118,6 +119,14 @@ def _either(x: Column) -> Column:
     return F.when(x["one"] == x["two"], F.array(form(0, x["one"]))).otherwise(F.array(form(1, x["one"]), form(2, x["two"])))
 
 
+def _forms(itext: Column) -> Column:
+    """An item begun inside a sentence and as a sentence, and in capitals and small letters throughout, which show no names."""
+    begun = F.regexp_replace(itext, r"^[^\p{L}\p{N}]+", "")
+    inside = F.concat(F.upper(F.substring(begun, 1, 1)), F.substring(begun, 2, 1 << 30))
+    start = F.concat(F.lit(". "), begun)
+    return F.array(inside, start, F.upper(start), F.lower(start))
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int, shortest: int) -> DataFrame:
     """(item, text, n, k): the items that are searched; k is their window."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("itext")).where("item is not null").distinct()
@@ -128,8 +137,7 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     """(__id, __th, item, windows): documents that hold an item, and in how many windows."""
     items = scratch.write(_items(benchmark, item_col, item_text_col, window, shortest))
     sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()] or [window]  # at most window - shortest + 1
-    # texts in capitals or in small letters throughout show no names: items are indexed in those forms too
-    forms = items.select("item", "k", F.explode(F.array("itext", F.upper("itext"), F.lower("itext"))).alias("itext"))
+    forms = items.select("item", "k", F.explode(_forms(F.col("itext"))).alias("itext"))
     keys = forms.select("item", F.col("k").alias("own"), F.explode(window_keys(F.col("itext"), sizes)).alias("x")).where("x.k = own")
     keys = scratch.write(keys.select("item", F.col("x.at").alias("iat"), "x.k", F.explode(F.array("x.one", "x.two")).alias("w")).distinct())
     count = keys.count()
@@ -165,7 +173,8 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     good = F.filter("ats", lambda s: ~F.exists("odd", lambda p: (p >= s) & (p < s + F.col("k"))))
     slots = slots.withColumn("good", good)
     literal_words = F.size(F.filter(covered(F.col("good")), lambda p: ~is_slot(p)))
-    held = slots.where((F.size("good") > 0) & (literal_words >= literal)).groupBy(*_KEYS, "item", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("n"))
+    whole = (F.size(covered(F.col("good"))) == F.size("iraw")) & ~F.exists("filled", lambda q: F.lower(q["a"]) != F.lower(q["b"]))
+    held = slots.where((F.size("good") > 0) & ((literal_words >= literal) | whole)).groupBy(*_KEYS, "item", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("n"))
     return held.groupBy(*_KEYS, "item").agg(F.sum("n").cast("long").alias("windows"))
 
 

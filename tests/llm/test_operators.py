@@ -157,6 +157,14 @@ def test_decontaminate_names_at_sentence_starts(spark):
     assert _found(spark, [item], texts) == [[0], [0], [0], [0], [0], []]
 
 
+def test_decontaminate_short_items(spark):
+    items = ["What is the capital city of France?", "What is 12 plus 7?", "is he 6 or 7?"]
+    before = ["", "Some words here. ", "Here\n", "and, ", "So: "]
+    texts = [b + x + after for x in items for b in before for after in ("", " Then more.")]
+    assert _found(spark, items, texts) == [[i] for i in range(3) for _ in range(10)]
+    assert _found(spark, items, ["So. What is 13 plus 7?", "So. What was 12 plus 7?"]) == [[], []]
+
+
 def test_language(spark):
     english, german = "the cat and the dog went over the hill again", "der hund und die katze gehen nicht über den berg"
     rows = [(i, (english, german)[i % 2] + f" {i}", ("en", "de")[i % 2]) for i in range(80)]

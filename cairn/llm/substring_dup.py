@@ -10,7 +10,7 @@ A window is ``WINDOW`` consecutive words. A word goes if some window over it als
    that has them. Windows without a shared anchor cannot repeat.
 
 Skew: a task remembers recent hashes in a table of fixed size. What it knows to be shared (or to be in an earlier document)
-it reports as one row for each document instead of sending it to the hash's own group, so that no group gets more than a
+it reports as one row for each document (different documents count, not rows) instead of sending it to the hash's own group, so that no group gets more than a
 few rows from each task. Exact copies are found by hashes of whole texts and skip steps 2 and 3. What the table forgets only
 costs rows, never results.
 
@@ -84,11 +84,12 @@ def _own_key(ord_: int, th: int) -> np.ndarray:
 
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
-    """(k, h, ord, th, known): a row for each distinct anchor, or its hash in ``known`` if the task has seen it twice before."""
+    """(k, h, ord, th, known): a row for each distinct anchor, or its hash in ``known`` if two documents of the task have sent it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent = _Recent()  # value: how often a hash has been sent
+        recent = _Recent()  # value: how many documents in turn have sent a hash
         recent.value[:] = 0
+        last = np.zeros(SLOTS, dtype=np.int64)  # the document that sent it last
         for batch in batches:
             ks, os, ths, knowns, hs = [], [], [], [], []
             for o, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -99,8 +100,9 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
                     continue
                 at, same = recent.slots(h)
                 known = same & (recent.value[at] >= 2)
-                recent.value[at] = np.where(same, recent.value[at] + 1, 1)
+                recent.value[at] = np.where(same, recent.value[at] + (last[at] != o), 1)
                 recent.key[at] = h
+                last[at] = o
                 fresh = h[~known].view(np.int64)
                 ks.append(fresh)
                 hs.append(fresh)

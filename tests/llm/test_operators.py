@@ -88,6 +88,17 @@ def test_substring(docs):
     assert substring_dup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_repeated_and_null_ids_first(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    for i in (1, None):
+        rows = [(i, f"a {passage}"), (i, f"a {passage}" if i else f"c {passage}"), (2, f"b {passage} d"), (5, f"{passage} e")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        out = sorted((r.doc_id or 9, r.n_removed) for r in substring_dup.remove_repeats(docs).collect())
+        assert out == ([(1, 0), (1, 0), (2, 60), (5, 60)] if i else [(2, 0), (5, 60), (9, 60), (9, 60)])
+        two = sorted((r.doc_id or 9, r.n_removed) for r in substring_dup.remove_repeats(docs.where("doc_id is null or doc_id < 5")).collect())
+        assert two == ([(1, 0), (1, 0), (2, 60)] if i else [(2, 0), (9, 60), (9, 60)])
+
+
 def test_bpe_and_counts(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe_encode.VOCABULARY), "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

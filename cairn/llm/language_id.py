@@ -1,14 +1,20 @@
 """Language identification with error-correcting output codes.
 
 Every language has a codeword of +1 and -1. For each bit a binary classifier over hashed character n-grams (log-odds of the
-two halves of the languages, every language weighing the same) gives a signed margin. Loss-weighted decoding adds up the
-logistic loss of each bit against each codeword, weighted by how reliable that bit was for that language on the training
-rows, and picks the codeword of least loss. The score is the softmax share of the winner; rows whose winner leads by little
-are flagged as ambiguous.
+two halves of the languages, every language weighing the same) gives a signed margin: the mean log-odds of the text's n-grams,
+with ``PRIOR`` n-grams of no evidence added, so that a margin does not grow with the text and a few letters are no proof.
+Loss-weighted decoding adds up the logistic loss of each bit against each codeword, weighted by how reliable that bit is for
+that language, and picks the codeword of least loss. The score is the softmax share of the winner; rows whose winner leads by
+little (mixed languages, a few odd letters) are flagged as ambiguous. A text counts as rejected only where the winner's share is
+below ``REJECTED_BELOW``, as mixed texts still are texts.
 
-The classifiers are fitted on a bounded sample: at most ``TRAIN_PER_LANG`` rows of each of the ``MAX_LANGS`` most frequent
-languages, picked by a hash of the id; counts of rows per language cover all data. Prediction reads whole texts and nothing
-but texts.
+Reliability, the scale of each bit's margins and the sharpness of the score come from rows that the classifiers have not seen:
+a quarter of the training sample. Languages with under ``SPLIT_FROM`` rows use the same rows for both.
+
+The classifiers are fitted on a bounded sample, picked by a hash of the id: about ``TRAIN_PER_LANG`` rows of each language, and
+of fewer (``TRAIN_LEAST`` at least) where there are so many languages that this would be over ``TRAIN_ROWS`` rows. No language
+is left out. N-grams are counted by Spark, a row of counts for each language comes to the driver, no texts. Counts of rows per
+language cover all data. Prediction reads whole texts and nothing but texts.
 
 Cases: null texts and texts without letters give ``und`` with score 0; rows with null id or null lang are never trained
 on; with no trainable row at all every text is ``und``; with one language every text with letters gets it; repeated rows
@@ -17,20 +23,23 @@ are predicted row by row; equal losses go to the language that sorts first; extr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-TRAIN_PER_LANG = 600
-MAX_LANGS = 400
-AMBIGUOUS_BELOW = 0.6
+TRAIN_PER_LANG, TRAIN_LEAST, TRAIN_ROWS = 600, 20, 240_000
+UNSEEN_ROWS = 20_000
+SPLIT_FROM = 40
+PRIOR = 30.0
+AMBIGUOUS_BELOW, REJECTED_BELOW = 0.9, 0.4
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -91,72 +100,151 @@ class Model:
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray  # buckets x bits
-    trust: np.ndarray  # languages x bits, each row adds up to 1
+    scale: np.ndarray  # of each bit's margins
+    trust: np.ndarray  # languages x bits, each row adds up to the number of bits
+    sharpness: float = 1.0
 
     def margins(self, text: str | None) -> np.ndarray | None:
         """Signed evidence of each bit; None without a letter."""
         found = grams(text)
         if not len(found):
             return None
-        # n-grams of three orders overlap, so that each counts for a third of its log-odds
-        return self.weights[found].sum(axis=0, dtype=np.float64) / 3
+        return self.weights[found].sum(axis=0, dtype=np.float64) / (len(found) + PRIOR)
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
-        return (self.trust * np.logaddexp(0, -self.code * margins)).sum(axis=1)
+        """Loss of each language for one row of margins, or for each row of several."""
+        signed = self.code * (margins * self.scale)[..., None, :]
+        return (self.trust * np.logaddexp(0, -signed)).sum(axis=-1)
+
+    def shares(self, margins: np.ndarray, sharpness: float | None = None) -> np.ndarray:
+        loss = self.losses(margins) * (self.sharpness if sharpness is None else sharpness)
+        share = np.exp(loss.min(axis=-1, keepdims=True) - loss)
+        return share / share.sum(axis=-1, keepdims=True)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         margins = self.margins(text) if self.languages else None
         if margins is None:
             return UNKNOWN, 0.0, True
-        loss = self.losses(margins)
-        share = np.exp(loss.min() - loss)
-        best = int(np.argmin(loss))
-        score = float(share[best] / share.sum())
+        share = self.shares(margins)
+        best = int(np.argmax(share))
+        score = float(share[best])
         return self.languages[best], score, score < AMBIGUOUS_BELOW
 
-
-def fit(rows: list[tuple[str, str]], smoothing: float = 0.1) -> Model:
-    """Classifiers of all bits from (language, text) rows."""
-    languages = sorted({lang for lang, _ in rows})
-    index = {lang: i for i, lang in enumerate(languages)}
+    def fitted(self, seen: list[tuple[str, np.ndarray]]) -> Model:
+        """This model with scale, trust and sharpness from (language, margins) of rows that it was not made of."""
+        if not seen or not self.code.shape[1]:
+            return self
+        index = {lang: i for i, lang in enumerate(self.languages)}
+        truth, margins = np.array([index[lang] for lang, _ in seen]), np.array([m for _, m in seen])
+        # a usual margin is 3 after scaling: a bit that is as clear as usual is right with 95 %
+        scale = 3 / np.maximum(np.median(np.abs(margins), axis=0), 1e-9)
+        right = 1 / (1 + np.exp(-self.code[truth] * margins * scale))
+        trust = np.ones(self.code.shape)
+        for k in np.unique(truth):
+            own = right[truth == k]
+            trust[k] = (own.sum(axis=0) + 1) / (len(own) + 2)
+        out = replace(self, scale=scale, trust=trust / trust.sum(axis=1, keepdims=True) * self.code.shape[1])
+        likelihood = lambda t: np.log(np.maximum(out.shares(margins, t)[np.arange(len(truth)), truth], 1e-12)).mean()
+        return replace(out, sharpness=max((0.25, 0.35, 0.5, 0.7, 1.0), key=likelihood))
+
+
+def classifiers(counts: Iterable[tuple[str, np.ndarray]], languages: list[str]) -> Model:
+    """Classifiers of all bits from (language, n-gram counts), one language at a time."""
     code = codewords(len(languages))
-    share = np.full((len(languages), BUCKETS), smoothing)
-    for lang, text in rows:
-        share[index[lang]] += np.bincount(grams(text), minlength=BUCKETS)
-    share /= share.sum(axis=1, keepdims=True) if len(languages) else 1
-    weights = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32)
-    for b in range(code.shape[1]):
-        yes, no = share[code[:, b] > 0].mean(axis=0), share[code[:, b] < 0].mean(axis=0)
-        weights[:, b] = np.log(yes) - np.log(no)
-    model = Model(languages, code, weights, np.full(code.shape, 1 / max(1, code.shape[1])))
-    right, seen = np.ones(code.shape), np.full((len(languages), 1), 2.0)
+    sums = np.zeros((2, code.shape[1], BUCKETS))  # shares of the n-grams, added up over both halves of the languages
+    index, floor = {lang: i for i, lang in enumerate(languages)}, 0.0
+    for lang, own in counts:
+        k, total = index[lang], max(1, own.sum())
+        floor = max(floor, 0.5 / total)
+        for half, sign in enumerate((1, -1)):
+            sums[half, code[k] == sign] += own / total
+    members = np.stack([(code > 0).sum(axis=0), (code < 0).sum(axis=0)])[:, :, None]
+    # n-grams as rare as the floor are no evidence, whichever half has them
+    odds = np.log(sums / np.maximum(members, 1) + floor)
+    return Model(languages, code, (odds[0] - odds[1]).T.astype(np.float32), np.ones(code.shape[1]), np.ones(code.shape))
+
+
+def fit(rows: list[tuple[str, str]], unseen: list[tuple[str, str]] | None = None) -> Model:
+    """A model of (language, text) rows; without ``unseen`` ones all is fitted on the same rows."""
+    counts: dict[str, np.ndarray] = {}
     for lang, text in rows:
-        if (margins := model.margins(text)) is not None:
-            k = index[lang]
-            right[k] += np.sign(margins) == code[k]
-            seen[k] += 1
-    if code.shape[1]:
-        trust = right / seen
-        model.trust = trust / trust.sum(axis=1, keepdims=True) * code.shape[1]
-    return model
+        own = np.bincount(grams(text), minlength=BUCKETS)
+        counts[lang] = counts[lang] + own if lang in counts else own
+    model = classifiers(counts.items(), sorted(counts))
+    seen = [(lang, model.margins(text)) for lang, text in (rows if unseen is None else unseen)]
+    return model.fitted([(lang, m) for lang, m in seen if m is not None])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+def _counted(rows: DataFrame) -> DataFrame:
+    """(lang, buckets, counts): the n-grams of each language, those of ``rows`` (lang, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, own = None, np.zeros(BUCKETS, dtype=np.int64)
+
+        def row() -> pa.RecordBatch:
+            at = np.nonzero(own)[0]
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<i4").tobytes()]), pa.array([own[at].astype("<i8").tobytes()])], ["lang", "buckets", "counts"])
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != lang:
+                    if lang is not None:
+                        yield row()
+                    lang, own = name, np.zeros(BUCKETS, dtype=np.int64)
+                own += np.bincount(grams(text), minlength=BUCKETS)
+        if lang is not None:
+            yield row()
+
+    return rows.repartition("lang").sortWithinPartitions("lang").mapInArrow(run, "lang string, buckets binary, counts binary")
+
+
+def _margins(rows: DataFrame, model: Model) -> DataFrame:
+    """(lang, margins) of the rows (lang, text) that have a letter."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(lang, shared.value.margins(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            found = [(lang, m.tobytes()) for lang, m in found if m is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([m for _, m in found], pa.binary())], ["lang", "margins"])
+
+    return rows.mapInArrow(run, "lang string, margins binary")
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG, most_rows: int = TRAIN_ROWS) -> Model:
     """Fit on a bounded sample of the rows that are not held out."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
-        return fit([])
-    pick = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)).alias("pick")
-    bound = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.3 * per_lang / r["count"]) * (1 << 40)))))
-    some = rows.select("lang", "text", pick).where(F.col("text").isNotNull() & (F.col("pick") < F.try_element_at(bound, F.col("lang")))).toPandas()
-    some = some.sort_values(["pick", "lang"]).groupby("lang").head(per_lang)
-    return fit(list(zip(some["lang"], some["text"], strict=True)))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    languages = sorted(counts)
+    if not languages:
+        return classifiers([], [])
+    own = min(per_lang, max(TRAIN_LEAST, most_rows // len(languages)))
+    tested = max(1, UNSEEN_ROWS // len(languages))
+    whole = 1 << 40
+    bounds = []
+    for lang, n in counts.items():
+        taken = min(1.0, own / n) * whole
+        split = n >= SPLIT_FROM
+        bounds.append((lang, int(taken), int(taken * 0.25) if split else 0, int(min(taken * (0.25 if split else 1.0), tested / n * whole))))
+    bound = df.sparkSession.createDataFrame(bounds, "lang string, taken long, kept_back long, tested long")
+    pick = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(whole)).alias("pick")
+    some = rows.select("lang", "text", pick).join(F.broadcast(bound), "lang")  # as many rows as languages, collected above
+    counted = _counted(some.where(F.col("pick").between(F.col("kept_back"), F.col("taken"))).select("lang", "text"))
+    decoded = ((r["lang"], _dense(r["buckets"], r["counts"])) for r in counted.toLocalIterator())
+    model = classifiers(decoded, languages)
+    seen = _margins(some.where(F.col("pick") < F.col("tested")).select("lang", "text"), model).collect()
+    return model.fitted([(r["lang"], np.frombuffer(r["margins"])) for r in seen])
+
+
+def _dense(buckets: bytes, counts: bytes) -> np.ndarray:
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[np.frombuffer(buckets, dtype="<i4")] = np.frombuffer(counts, dtype="<i8")
+    return out
 
 
 def predictor(df: DataFrame, model: Model):
@@ -179,9 +267,9 @@ def identify(df: DataFrame, model: Model | None = None, id_col: str = "doc_id",
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.ambiguous")
 
 
-def keep_identified(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``df``, unchanged, whose language is told apart; those without letters or in doubt go."""
+def keep_identified(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = REJECTED_BELOW) -> DataFrame:
+    """The rows of ``df``, unchanged, whose language is told apart: those without letters, and those of a score below ``least``, go."""
     predict = predictor(df, model or train(df, id_col, text_col, lang_col))
     name = "__identified"
     out = df.withColumn(name, predict(F.col(text_col).cast("string")))
-    return out.where((F.col(f"{name}.lang_pred") != UNKNOWN) & ~F.col(f"{name}.ambiguous")).drop(name)
+    return out.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)

@@ -4,19 +4,22 @@ A tolerant tokenizer builds the tree (implied end tags, void elements, raw-text
 never article text (navigation, asides, forms, scripts, anything hidden, and boxes whose class, id or role says advert,
 sidebar, notice, comments and the like) are cut off. Every remaining block of text passes points for its length and its
 commas to the elements around it (all to the parent, half to the grandparent, a third to the next), discounted by the
-share of its text that is link text. The container of most points wins, moved up to an enclosing ``article`` or ``main``;
-siblings that score a fifth as much or read like prose stay with it. All text of what was kept is returned: white space
+share of its text that is link text. The container of most points wins, moved up to an enclosing ``article`` or ``main``, or
+past elements that hold nothing else; siblings that score a fifth as much, read like prose or are headings stay with it,
+whatever their tag (next to an ``article`` or ``main``: only others of the kind). All text of what was kept is returned: white space
 inside a block becomes one space, blocks are joined in page order by two newlines, character references are decoded.
 
 Cases: null, empty and text-free pages give an empty text; html without any tag is one block; an unclosed comment or
-script swallows the rest, as browsers do; ties of points go to the earlier element; nesting is unlimited (no recursion);
+script swallows the rest, as browsers do; ties of points go to the earlier element; nesting is unlimited (no recursion) and
+time is in proportion to the page, however it is nested;
 repeated rows are extracted row by row and extra columns are never read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -52,6 +55,9 @@ BAD = frozenset(
 )
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 KEPT_TAGS = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of which a short sentence is text of the page.
+TEXT_TAGS = frozenset("p blockquote pre ul ol dl table figure".split())
 
 
 class Node:
@@ -87,18 +93,62 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return tag not in KEPT_TAGS and bool(words & BAD) and not words & GOOD or tag == "article" and bool(words & {"comment", "comments", "related", "promo", "ad", "ads", "sponsored"})
 
 
-def parse(html: str) -> Node:
-    """The element tree; texts are decoded, dropped elements keep no children."""
-    root = node = Node("#root", None, False)
+class _Open:
+    """The open elements, outermost first, and the places of each tag among them, so that no end tag climbs in vain."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node] = [root]
+        self.places: dict[str, list[int]] = {}
+        self.headings: list[int] = []
+        self.boxes: list[int] = []  # block elements that are neither headings nor paragraphs
+        self.gone = self.inside = 0  # how many open elements are dropped, and are article or main
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in HEADINGS:
+            self.headings.append(at)
+        elif node.tag in BLOCK and node.tag != "p":
+            self.boxes.append(at)
+        self.gone += node.dropped
+        self.inside += node.tag in ("article", "main")
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these tags, -1 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def outermost(self, tags: Iterable[str], after: int) -> int:
+        """Place of the outermost open element of these tags beyond a place, -1 without one."""
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, after)) < len(p)]
+        return min(found, default=-1)
+
+    def close(self, at: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.nodes) > at:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in HEADINGS:
+                self.headings.pop()
+            elif node.tag in BLOCK and node.tag != "p":
+                self.boxes.pop()
+            self.gone -= node.dropped
+            self.inside -= node.tag in ("article", "main")
+
+
+def parse(html: str) -> tuple[Node, list[Node]]:
+    """The element tree, and its nodes, parents before children; texts are decoded, dropped elements keep no children."""
+    root = Node("#root", None, False)
+    made, open_ = [root], _Open(root)
     lower, at, size = "", 0, len(html)
-    gone = inside = 0  # how many open elements are dropped, and are article or main
     while at < size:
         m = _TAG.search(html, at)
+        node = open_.nodes[-1]
         if m is None:
-            if not gone:
+            if not open_.gone:
                 node.children.append(unescape(html[at:]))
             break
-        if m.start() > at and not gone:
+        if m.start() > at and not open_.gone:
             node.children.append(unescape(html[at : m.start()]))
         end, tag = m.end(), m[2]
         if tag is None:
@@ -119,46 +169,25 @@ def parse(html: str) -> Node:
                 break
         at = end
         if m[1]:
-            if tag == "p" or tag == "br":
-                x = node
-                while x is not None and x.tag != tag and x.tag not in ("td", "th", "table"):
-                    x = x.parent
-                if x is None or x.tag != tag:
-                    continue
-            x = node
-            while x.parent is not None and x.tag != tag:
-                x = x.parent
-            if x.parent is None:
-                continue
-            while node is not x.parent:
-                gone -= node.dropped
-                inside -= node.tag in ("article", "main")
-                node = node.parent
+            held = open_.last(tag)
+            if held > 0 and (tag != "p" or held > open_.last("td", "th", "table")):
+                open_.close(held)
             continue
-        if tag in BLOCK and node.tag not in ("article", "body", "div"):
-            x = node
-            while x.parent is not None and x.tag != "p" and (x.tag not in BLOCK or x.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag[0] == "h"):
-                x = x.parent
-            if x.tag == "p":
-                while node is not x.parent:
-                    gone -= node.dropped
-                    node = node.parent
+        if tag in BLOCK:
+            held = open_.last("p")
+            if held > max(open_.boxes[-1] if open_.boxes else -1, open_.headings[-1] if open_.headings and tag[0] != "h" else -1):
+                open_.close(held)
         if tag in CLOSES:
             ends, barriers = CLOSES[tag]
-            x, found = node, None
-            while x.parent is not None and x.tag not in barriers:
-                if x.tag in ends:
-                    found = x
-                x = x.parent
-            while found is not None and node is not found.parent:
-                gone -= node.dropped
-                inside -= node.tag in ("article", "main")
-                node = node.parent
+            held = open_.outermost(ends, open_.last(*barriers))
+            if held > 0:
+                open_.close(held)
+        node = open_.nodes[-1]
         if tag in VOID:
-            if not gone:
+            if not open_.gone:
                 node.children.append(Node(tag, node, tag == "input"))
+                made.append(node.children[-1])
             continue
-        child = Node(tag, node, _unwanted(tag, attributes, inside > 0))
         if tag in RAW:
             lower = lower or html.lower()
             close = lower.find(f"</{tag}", at) if len(lower) == size else html.find(f"</{tag}", at)
@@ -167,14 +196,14 @@ def parse(html: str) -> Node:
             stop = html.find(">", close)
             at = size if stop < 0 else stop + 1
             continue
-        if not gone:
+        child = Node(tag, node, _unwanted(tag, attributes, open_.inside > 0))
+        if not open_.gone:
             node.children.append(child)
+            made.append(child)
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        gone += child.dropped
-        inside += tag in ("article", "main")
-        node = child
-    return root
+        open_.push(child)
+    return root, made
 
 
 def _walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
@@ -222,15 +251,16 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
-def _prose(text: str, link: int) -> bool:
-    return link < 0.25 * len(text) and (len(text) > 80 or bool(re.search(r"[.!?…。]\W*$", text)))
+def _prose(text: str, link: int, short: bool) -> bool:
+    """Whether a text reads like prose: it is long, or (if ``short`` ones may count) a sentence."""
+    return link < 0.25 * len(text) and (len(text) > 80 or short and bool(re.search(r"[.!?…。]\W*$", text)))
 
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    root = parse(html)
+    root, nodes = parse(html)
     blocks = _blocks(root)
     if not blocks:
         return ""
@@ -247,10 +277,12 @@ def extract(html: str | None) -> str:
             x.score += points * share
             scored.setdefault(id(x), x)
             x = x.parent
-        while owner is not None:
-            owner.link += link
-            owner.length += len(text)
-            owner = owner.parent
+        owner.link += link
+        owner.length += len(text)
+    for x in reversed(nodes):  # children before parents
+        if x.parent is not None:
+            x.parent.link += x.link
+            x.parent.length += x.length
     best = max(scored.values(), key=lambda x: x.score * (1 - x.link / max(1, x.length)))
     x = best
     while x is not None:
@@ -259,6 +291,8 @@ def extract(html: str | None) -> str:
             if x.tag == "article":
                 break
         x = x.parent
+    while best.tag not in ("article", "main") and best.parent is not None and best.parent.tag not in ("body", "html", "#root") and best.parent.length == best.length:
+        best = best.parent  # nothing else is in there; its siblings are those that count
     kept = [best]
     if best.parent is not None and best.tag not in ("body", "html", "main"):
         least = 0.2 * best.score
@@ -268,7 +302,11 @@ def extract(html: str | None) -> str:
                 together.append(x)
             elif isinstance(x, Node) and x.tag in BLOCK and not x.dropped and x.length:
                 clean = x.link < 0.33 * x.length
-                if clean and (x.score >= max(3.0, least) and x.tag == best.tag or x.tag in ("p", "h1", "h2", "blockquote") and best.tag not in ("article", "main") and (x.tag != "p" or _prose(_text(x), x.link))):
+                if best.tag in ("article", "main"):
+                    belongs = x.tag == best.tag and x.score >= max(3.0, least)
+                else:
+                    belongs = x.tag in HEADINGS or x.score >= max(3.0, least) or _prose(_text(x), x.link, x.tag in TEXT_TAGS)
+                if clean and belongs:
                     together.append(x)
         kept = together
     inside = {id(x) for x in kept}

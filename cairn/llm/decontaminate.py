@@ -3,19 +3,22 @@
 Texts and benchmark items are cut into words. Numbers, names (capitalised words inside a sentence, but not words in capitals
 throughout, as texts can be shouted) and units after a number become typed placeholders, all else is lower-cased, so that a
 question with other numbers or names in it has the template of the original. A capitalised word that begins a sentence may be
-a name or not: in a first template it is lower-cased, in a second it is a name, and both are looked up. Windows of ``WINDOW`` template words (for
-shorter items of at least ``SHORTEST`` words: the whole item) are hash-joined with those of the benchmark. Each match lies
+a name or not: in a first template it is lower-cased, in a second it is a name, and both are looked up. Windows of ``WINDOW``
+template words (for shorter items: the whole item) are hash-joined with those of the benchmark; windows of placeholders alone
+are not looked up. Each match lies
 on a diagonal, the distance between the places in document and item; on a diagonal the slots must be filled consistently:
 one value of the item stands for one value of the document. Windows that fill a slot otherwise than most of the diagonal are
 put aside, so that a stray slot next to a passage does not hide it. A document is contaminated by an item if the consistent
 windows of a diagonal cover at least ``LITERAL`` words that are no placeholders, or the whole item with its own values in
 all slots. The first word of an item is indexed as at the start of a sentence and as inside one.
 
+Items with fewer than ``LITERAL`` words that are no placeholders (and so all items of fewer words) are searched word by word as
+they stand, in small letters, without placeholders, and count only whole: their template would say too little.
+
 The benchmark's windows are broadcast only while there are at most ``BROADCAST_WINDOWS`` of them, which is counted; beyond
 that the join is a shuffle. Windows of the corpus are made and joined in one pass, only matches move.
 
-Cases: null and empty texts are clean; an empty benchmark leaves all clean; items under ``SHORTEST`` words are not
-searched; a null doc_id is a document like any other; rows that repeat id and text get the same result each; null item
+Cases: null and empty texts are clean; an empty benchmark leaves all clean; items without a word are ignored; a null doc_id is a document like any other; rows that repeat id and text get the same result each; null item
 ids are ignored; extra columns stay as they are.
 """
 
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from cairn.llm.storage import Scratch
 
 WINDOW = 13
-SHORTEST = 5
 LITERAL = 5
 BROADCAST_WINDOWS = 200_000
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
@@ -95,22 +97,33 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def window_keys(text: Column, sizes: list[int]) -> Column:
-    """(place, size, hash in the first template, hash in the second) of every window of each size."""
+def _places(n: Column, k: int) -> Column:
+    """First places, from 1, of the windows of ``k`` of ``n`` words."""
+    return F.when(n >= k, F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
+def window_keys(text: Column, sizes: list[int], plain_sizes: list[int] | None = None) -> Column:
+    """(place, size, hash in the first template, hash in the second, plain) of every window of each size.
+
+    Windows of ``plain_sizes`` are hashed as they stand, in small letters.
+    """
+    window = "struct<at:int,k:int,one:bigint,two:bigint,plain:boolean>"
 
     def of_size(h: Column, k: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(h["one"]) - (k - 1), F.lit(1)))
         hashed = lambda form, s: F.xxhash64(F.slice(h[form], s, k), F.lit(k))
-        every = F.transform(places, lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), hashed("one", s).alias("one"), hashed("two", s).alias("two")))
-        return F.filter(every, lambda x: x["at"] <= F.size(h["one"]) - k)
+        return F.transform(_places(F.size(h["one"]), k), lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), hashed("one", s).alias("one"), hashed("two", s).alias("two"), F.lit(False).alias("plain")))
 
-    def of(h: Column) -> Column:
-        parts = [of_size(h, k) for k in sizes]
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
+    def plain_of_size(h: Column, k: int) -> Column:
+        hashed = lambda s: F.xxhash64(F.slice(h, s, k), F.lit(-k))
+        return F.transform(_places(F.size(h), k), lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), hashed(s).alias("one"), hashed(s).alias("two"), F.lit(True).alias("plain")))
 
     hashes = lambda words: F.transform(words, lambda y: F.xxhash64(y))
     both = lambda m: F.struct(hashes(first_template(m)).alias("one"), hashes(second_template(m)).alias("two"))
-    return _bound(_bound(_bound(words(text), template), both), of)
+    lower = lambda raw: F.transform(raw, lambda x: F.xxhash64(F.lower(bare(x))))
+    joined = lambda parts: F.concat(*parts) if len(parts) > 1 else parts[0]
+    out = [_bound(_bound(_bound(words(text), template), both), lambda h: joined([of_size(h, k) for k in sizes]))] if sizes else []
+    out += [_bound(_bound(words(text), lower), lambda h: joined([plain_of_size(h, k) for k in plain_sizes]))] if plain_sizes else []
+    return joined(out) if out else F.array().cast(f"array<{window}>")
 
 
 def _either(x: Column) -> Column:
@@ -127,23 +140,38 @@ def _forms(itext: Column) -> Column:
     return F.array(inside, start, F.upper(start), F.lower(start))
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int, shortest: int) -> DataFrame:
-    """(item, text, n, k): the items that are searched; k is their window."""
+def _literal(marked: Column) -> Column:
+    """How many words of a marked template are no placeholders, where words that begin a sentence are literals."""
+    return F.size(F.filter(marked, lambda y: ~y.isin(NUMBER, NAME, UNIT)))
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int, literal: int) -> DataFrame:
+    """(item, itext, n, k, plain): the items that are searched; k is their window, ``plain`` says that they stand as they are."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("itext")).where("item is not null").distinct()
-    return items.withColumn("n", F.size(words(F.col("itext")))).where(F.col("n") >= shortest).withColumn("k", F.least("n", F.lit(window)))
+    sized = items.withColumns({"n": F.size(words(F.col("itext"))), "__said": _bound(_bound(words(F.col("itext")), template), _literal)})
+    return sized.where("n > 0").select("item", "itext", "n", F.least("n", F.lit(window)).alias("k"), (F.col("__said") < literal).alias("plain"))
+
+
+def _keys(items: DataFrame, sizes: list[int], plain_sizes: list[int]) -> DataFrame:
+    """(item, iat, k, w): the windows of the benchmark, in both templates of every form of an item, or plain."""
+    forms = items.where("not plain").select("item", "k", F.explode(_forms(F.col("itext"))).alias("itext"))
+    own = forms.select("item", F.col("k").alias("own"), _bound(words(F.col("itext")), template).alias("marked"), "itext").withColumn("x", F.explode(window_keys(F.col("itext"), sizes))).where("x.k = own")
+    said = _literal(F.slice("marked", F.col("x.at") + 1, F.col("own"))) > 0
+    keys = own.where(said).select("item", F.col("x.at").alias("iat"), "x.k", F.explode(F.array("x.one", "x.two")).alias("w"))
+    plain = items.where("plain").select("item", F.col("k").alias("own"), F.explode(window_keys(F.col("itext"), [], plain_sizes)).alias("x")).where("x.k = own")
+    return keys.union(plain.select("item", F.col("x.at").alias("iat"), "x.k", F.col("x.one").alias("w"))).distinct()
 
 
-def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, shortest: int, literal: int) -> DataFrame:
+def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, literal: int) -> DataFrame:
     """(__id, __th, item, windows): documents that hold an item, and in how many windows."""
-    items = scratch.write(_items(benchmark, item_col, item_text_col, window, shortest))
-    sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()] or [window]  # at most window - shortest + 1
-    forms = items.select("item", "k", F.explode(_forms(F.col("itext"))).alias("itext"))
-    keys = forms.select("item", F.col("k").alias("own"), F.explode(window_keys(F.col("itext"), sizes)).alias("x")).where("x.k = own")
-    keys = scratch.write(keys.select("item", F.col("x.at").alias("iat"), "x.k", F.explode(F.array("x.one", "x.two")).alias("w")).distinct())
+    items = scratch.write(_items(benchmark, item_col, item_text_col, window, literal))
+    found_sizes = items.select("k", "plain").distinct().collect()  # at most two for each size up to the window's
+    sizes, plain_sizes = (sorted(r["k"] for r in found_sizes if r["plain"] == p) for p in (False, True))
+    keys = scratch.write(_keys(items, sizes, plain_sizes))
     count = keys.count()
     distinct = keys.select("k", "w").distinct()
     docs = df.select(_id(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn("__th", F.xxhash64("__text"))
-    mine = docs.select(*_KEYS, F.explode(window_keys(F.col("__text"), sizes)).alias("x")).select(*_KEYS, "x.at", "x.k", F.explode(_either(F.col("x"))).alias("y")).select(*_KEYS, "at", "k", "y.form", "y.w")
+    mine = docs.select(*_KEYS, F.explode(window_keys(F.col("__text"), sizes, plain_sizes)).alias("x")).select(*_KEYS, "x.at", "x.k", F.explode(_either(F.col("x"))).alias("y")).select(*_KEYS, "at", "k", "y.form", "y.w")
     near = scratch.write(mine.join(F.broadcast(distinct) if count <= BROADCAST_WINDOWS else distinct, ["k", "w"], "left_semi").distinct())
     hits = near.join(keys, ["k", "w"]).select(*_KEYS, "item", "k", "at", "form", (F.col("at") - F.col("iat")).alias("diagonal"))
     in_form = lambda n: F.sort_array(F.collect_set(F.when(F.col("form").isin(0, n), F.col("at"))))
@@ -155,7 +183,7 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     marked = some.select(*_KEYS, raw("__text").alias("raw"), _bound(words(F.col("__text")), template).alias("marked"))
     # both are written: as expressions they would be made anew for every word of the lambdas below
     texts = scratch.write(marked.select(*_KEYS, "raw", _bound(F.col("marked"), first_template).alias("first"), _bound(F.col("marked"), second_template).alias("second")))
-    originals = scratch.write(items.select("item", raw("itext").alias("iraw")))
+    originals = scratch.write(items.select("item", "plain", raw("itext").alias("iraw")))
     slots = found.join(texts, _KEYS).join(originals, "item")
     template_word = lambda p: F.when(F.col("form") == 1, F.element_at("first", p + 1)).otherwise(F.element_at("second", p + 1))
     place = lambda a, p: F.element_at(a, p + 1)
@@ -174,16 +202,16 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     slots = slots.withColumn("good", good)
     literal_words = F.size(F.filter(covered(F.col("good")), lambda p: ~is_slot(p)))
     whole = (F.size(covered(F.col("good"))) == F.size("iraw")) & ~F.exists("filled", lambda q: F.lower(q["a"]) != F.lower(q["b"]))
-    held = slots.where((F.size("good") > 0) & ((literal_words >= literal) | whole)).groupBy(*_KEYS, "item", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("n"))
+    held = slots.where((F.size("good") > 0) & (whole | (~F.col("plain") & (literal_words >= literal)))).groupBy(*_KEYS, "item", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("n"))
     return held.groupBy(*_KEYS, "item").agg(F.sum("n").cast("long").alias("windows"))
 
 
 def contamination(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST, literal: int = LITERAL
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literal: int = LITERAL
 ) -> DataFrame:
     """(doc_id, contaminated, n_windows, items) of each row; items are the sorted ids of what was found."""
     scratch = Scratch(df.sparkSession, "decontaminate")
-    pairs = contaminated_pairs(df, benchmark, scratch, id_col, text_col, item_col, item_text_col, window, shortest, literal)
+    pairs = contaminated_pairs(df, benchmark, scratch, id_col, text_col, item_col, item_text_col, window, literal)
     found = scratch.write(pairs.groupBy(*_KEYS).agg(F.sum("windows").alias("n_windows"), F.sort_array(F.collect_list("item")).alias("items")))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), _id(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"))
     out = rows.join(found, _KEYS, "left")
@@ -193,6 +221,6 @@ def contamination(
 def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df``, unchanged, that hold no item of the benchmark."""
     scratch = Scratch(df.sparkSession, "decontaminate")
-    settings = {"item_col": "item_id", "item_text_col": "text", "window": WINDOW, "shortest": SHORTEST, "literal": LITERAL} | options
+    settings = {"item_col": "item_id", "item_text_col": "text", "window": WINDOW, "literal": LITERAL} | options
     found = scratch.write(contaminated_pairs(df, benchmark, scratch, id_col, text_col, **settings).select(*_KEYS).distinct())
     return df.join(found, (_id(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th")), "left_anti")

@@ -10,13 +10,14 @@ A window is ``WINDOW`` consecutive words. A word goes if some window over it als
    that has them. Windows without a shared anchor cannot repeat.
 
 Skew: a task remembers recent hashes in a table of fixed size. What it knows to be shared (or to be in an earlier document)
-it reports as one row for each document (different documents count, not rows) instead of sending it to the hash's own group, so that no group gets more than a
-few rows from each task. Exact copies are found by hashes of whole texts and skip steps 2 and 3. What the table forgets only
-costs rows, never results.
+it reports as one row for each document instead of sending it to the hash's own group; an anchor that a row of the same id has
+sent already counts as shared, which costs a look at its windows. A document sends a window that it repeats once, with all its
+places. So no group gets more than a few rows from each task. Exact copies are found by hashes of whole texts and skip steps 2
+and 3. What the table forgets only costs rows, never results.
 
 Cases: null and empty texts have no words; texts under ``WINDOW`` words lose nothing; a null id counts as larger than all;
 rows that repeat id and text get the same result each; documents of equal id never remove from each other; extra columns
-are never read; hashes of windows have 64 bits.
+are never read; windows are compared by hashes of 128 bits.
 """
 
 from __future__ import annotations
@@ -38,18 +39,17 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # every residue modulo 31 is a difference of two of these
 SLOTS = 1 << 20
 LAST = (1 << 63) - 1
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
-def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, length: int, base: int = _BASE) -> np.ndarray:
     """Hash of the ``length`` words from each position (a polynomial over the words' hashes, by prefix sums)."""
     n = len(words)
     if n < length:
         return np.zeros(0, dtype=np.uint64)
-    powers = np.full(n, _BASE, dtype=np.uint64).cumprod()
+    powers = np.full(n, base, dtype=np.uint64).cumprod()
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), (words * powers).cumsum(dtype=np.uint64)))
-    back = np.full(n - length + 1, _INVERSE, dtype=np.uint64).cumprod()
+    back = np.full(n - length + 1, pow(base, -1, 1 << 64), dtype=np.uint64).cumprod()
     return mixed((sums[length:] - sums[: n - length + 1]) * back)
 
 
@@ -84,7 +84,7 @@ def _own_key(ord_: int, th: int) -> np.ndarray:
 
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
-    """(k, h, ord, th, known): a row for each distinct anchor, or its hash in ``known`` if two documents of the task have sent it before."""
+    """(k, h, ord, th, known): a row for each distinct anchor, or its hash in ``known`` if two documents of the task, or a row of this id, have sent it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = _Recent()  # value: how many documents in turn have sent a hash
@@ -99,7 +99,7 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
                 if not len(h):
                     continue
                 at, same = recent.slots(h)
-                known = same & (recent.value[at] >= 2)
+                known = same & ((recent.value[at] >= 2) | (last[at] == o))
                 recent.value[at] = np.where(same, recent.value[at] + (last[at] != o), 1)
                 recent.key[at] = h
                 last[at] = o
@@ -128,13 +128,15 @@ def _runs(starts: np.ndarray) -> np.ndarray:
 
 
 def _window_rows(near: DataFrame, window: int) -> DataFrame:
-    """(k, ord, th, s, runs): a row for each full window around a shared anchor, or runs of windows known to be earlier."""
+    """(k, k2, ord, th, s, runs, known): a row for each distinct window around a shared anchor with its place, or places as
+    runs; or, ``known``, the runs of windows that an earlier document of the task had."""
     anchor = window - (PERIOD if window > PERIOD else 1) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = _Recent()  # value: the smallest document that had the window
+        second = np.zeros(SLOTS, dtype=np.uint64)
         for batch in batches:
-            ks, os, ths, ss, runs = [], [], [], [], []
+            ks, k2s, os, ths, ss, runs, knowns = [], [], [], [], [], [], []
             for o, th, text, some, more in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 words = word_hashes(text.encode())
                 w = window_hashes(words, window)
@@ -150,29 +152,42 @@ def _window_rows(near: DataFrame, window: int) -> DataFrame:
                 starts = np.nonzero(mark.cumsum()[: len(w)] > 0)[0]
                 if not len(starts):
                     continue
-                h = w[starts]
+                h, h2 = w[starts], window_hashes(words, window, _OTHER_BASE)[starts]
                 slot, same = recent.slots(h)
+                same &= second[slot] == h2
                 earlier = same & (recent.value[slot] < o)
                 better = ~same | (recent.value[slot] > o)
-                recent.key[slot[better]] = h[better]
+                recent.key[slot[better]], second[slot[better]] = h[better], h2[better]
                 recent.value[slot[better]] = o
-                fresh = starts[~earlier]
-                ks.append(h[~earlier].view(np.int64))
-                os.append(np.full(len(fresh), o))
-                ths.append(np.full(len(fresh), th))
-                ss.append(fresh)
-                runs += [None] * len(fresh)
+                fresh = np.nonzero(~earlier)[0]
+                order = fresh[np.lexsort((starts[fresh], h2[fresh], h[fresh]))]
+                first = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1]))) if len(order) else np.zeros(0, dtype=bool)
+                heads = np.nonzero(first)[0]
+                single = np.diff(np.append(heads, len(order))) == 1
+                places = starts[order[heads]]
+                ks.append(h[order[heads]].view(np.int64))
+                k2s.append(h2[order[heads]].view(np.int64))
+                os.append(np.full(len(heads), o))
+                ths.append(np.full(len(heads), th))
+                ss.append(np.where(single, places, -1))
+                own = [None] * len(heads)
+                for i in np.nonzero(~single)[0].tolist():
+                    own[i] = _runs(starts[order[heads[i] : heads[i + 1] if i + 1 < len(heads) else len(order)]]).tobytes()
+                runs += own
+                knowns.append(np.zeros(len(heads), dtype=bool))
                 if earlier.any():
                     ks.append(_own_key(o, th))
+                    k2s.append(np.array([0]))
                     os.append(np.array([o]))
                     ths.append(np.array([th]))
                     ss.append(np.array([-1]))
                     runs.append(_runs(starts[earlier]).tobytes())
-            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (ks, os, ths, ss)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in flat), pa.array(runs, pa.binary())], ["k", "ord", "th", "s", "runs"])
+                    knowns.append(np.array([True]))
+            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (ks, k2s, os, ths, ss)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in flat), pa.array(runs, pa.binary()), pa.array(np.concatenate(knowns) if knowns else [], pa.bool_())], ["k", "k2", "ord", "th", "s", "runs", "known"])
 
     # doc_id is not needed, but with it this exchange of texts is the one of the last step, and is made once
-    return near.select("ord", "th", "text", "hs", "knowns", "doc_id").mapInArrow(run, "k long, ord long, th long, s long, runs binary")
+    return near.select("ord", "th", "text", "hs", "knowns", "doc_id").mapInArrow(run, "k long, k2 long, ord long, th long, s long, runs binary, known boolean")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -192,8 +207,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = scratch.write(found.join(copies, ["ord", "th"], "left_anti"))
     dealt = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord", "th")
     windows = _window_rows(dealt.join(shared, ["ord", "th"]), window)
-    windows = windows.select("ord", "th", "s", "runs", F.min("ord").over(key).alias("least"))
-    gone = windows.where("runs is not null or least < ord").groupBy("ord", "th").agg(F.collect_list(F.when(F.col("s") >= 0, F.col("s").cast("int"))).alias("starts"), F.collect_list("runs").alias("runs"))
+    windows = windows.select("ord", "th", "s", "runs", "known", F.min("ord").over(Window.partitionBy("k", "k2")).alias("least"))
+    gone = windows.where("known or least < ord").groupBy("ord", "th").agg(F.collect_list(F.when(F.col("s") >= 0, F.col("s").cast("int"))).alias("starts"), F.collect_list("runs").alias("runs"))
     gone = gone.select("ord", "th", "starts", "runs", F.lit(False).alias("whole"))
     whole = copies.select("ord", "th", F.array().cast("array<int>").alias("starts"), F.array().cast("array<binary>").alias("runs"), F.lit(True).alias("whole"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text

@@ -99,6 +99,21 @@ def test_substring_repeated_and_null_ids_first(spark):
         assert two == ([(1, 0), (1, 0), (2, 60)] if i else [(2, 0), (9, 60), (9, 60)])
 
 
+def test_substring_windows_that_repeat_inside_a_document(spark):
+    """Documents of few different words: every window stands many times in them."""
+    texts = {1: "a b " * 100, 2: "x " * 3 + "a b " * 60 + "y", 3: "z " * 400, 4: "z " * 55, 5: "b a " * 24 + "b c", 6: "q " + "a b " * 25 + "a a " * 40, 7: "a " * 49}
+    words = {i: t.split() for i, t in texts.items()}
+    rows = [*texts.items(), (None, texts[2]), (None, texts[4])]
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect() if r.doc_id}
+    first = {}
+    for i, w in words.items():
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), i)
+    for i, w in words.items():
+        gone = {p for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < i for p in range(s, s + 50)}
+        assert out[i] == (len(w), len(gone))
+
+
 def test_bpe_and_counts(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe_encode.VOCABULARY), "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -14,7 +14,11 @@
    the threshold by its sketches is beyond it for sure; all others are confirmed on full sets. No pair that shares a bucket
    and could be a link is left out, so every link that any bucket holds is honoured.
 
-A pair at the threshold of 0.8 shares none of the 48 buckets with probability 5e-7, and less above it.
+A pair at the threshold of 0.8 shares none of the 48 buckets with probability 5e-7, and less above it; thresholds for which the
+bands at hand would miss more than ``MOST_MISSED`` are refused, and so are those under 50 %, as sketches fold once.
+
+Skew: a hub's partners are dealt into groups by salts, the hub's text is handed out in two steps; buckets that are open are
+joined in salted parts of about ``PART`` rows.
 
 Cases: texts without words (null, empty, blank) have the empty set and stand alone; a null id stands alone with a null
 component and is kept; rows that repeat an id are one document; extra columns are never read; an empty table gives an
@@ -40,7 +44,8 @@ from cairn.llm.storage import Scratch
 BANDS, ROWS = 48, 6
 SHINGLE = 5
 PERCENT = 80
-GROUP = 64
+GROUP, SALTS, PART = 64, 64, 256
+MOST_MISSED = 1e-6
 SKETCH_MOST = 256
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
 
@@ -125,9 +130,15 @@ def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     A hub's partners are dealt into groups of about ``GROUP``; each group gets one copy of the hub's text, and the rows of
     a group stream past it.
     """
-    spread = edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    edges = edges.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"))
-    hubs = edges.select("a", "g").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "g", F.lit(None).cast("long").alias("b"), "text")
+    spread = edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    # hubs of one group need no count; the others' are looked up with a salt, as one hub can have most partners
+    large = spread.where("groups > 1").select("a", "groups", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b", F.lit(3)), F.lit(SALTS)).cast("int"))
+    edges = salted.join(large, ["a", "salt"], "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"), F.lit(0)).alias("g"))
+    # the hub's text for up to SALTS heads, and from each of them to its groups
+    heads = spread.select("a", F.explode(F.sequence(F.lit(0), F.least("groups", F.lit(SALTS)) - 1)).alias("head")).join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    own = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")).withColumn("head", F.col("g") % SALTS)
+    hubs = own.join(heads, ["a", "head"]).select("a", "g", F.lit(None).cast("long").alias("b"), "text")
     others = edges.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "g", "b", "text")
     dealt = hubs.union(others).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
 
@@ -151,9 +162,13 @@ def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; links are shingle sets of at least ``percent`` % overlap."""
+    if not 50 <= percent <= 100 or (1 - (percent / 100) ** rows) ** bands > MOST_MISSED:
+        raise ValueError(f"{bands} bands of {rows} rows would miss too many pairs of {percent} %")
     scratch = Scratch(df.sparkSession, "near-dup")
     texts = as_text(df, id_col, text_col)
-    sets = scratch.write(signatures(texts, shingle, bands, rows))
+    sets = signatures(texts, shingle, bands, rows)
+    # empty sets are linked with nothing: each has a key of its own, so that they do not meet in one task
+    sets = scratch.write(sets.withColumn("set_a", F.when(F.col("n_shingles") > 0, F.col("set_a")).otherwise(F.xxhash64("doc_id"))))
     alike = scratch.write(sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
     reps = sets.join(alike, ["set_a", "set_b"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands")
     banded = scratch.write(reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key")))
@@ -170,13 +185,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels, stars = components(confirmed(tested, known, shingle, percent), scratch)
     # buckets that still hold two components
     labelled = scratch.write(members.drop("w").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-    several = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("major"))
+    several = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("major"), F.ceil(F.sum("c") / PART).cast("int").alias("parts"))
     open_ = labelled.join(several.where("labels > 1").drop("labels"), "key")
     open_ = scratch.write(open_.join(sets.select("doc_id", "odd"), "doc_id"))
-    one = open_.where("label <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "label", "odd")))
+    one = open_.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "label", "odd")))
     close = apart("x_odd", "odd") * (100 + percent) <= (F.col("x_n") + F.col("n")) * (100 - percent)
     once = (F.col("label") == F.col("major")) | (F.col("x_doc_id") < F.col("doc_id"))
-    more = one.join(open_, "key").where((F.col("x_label") != F.col("label")) & once & sized(F.col("x_n"), F.col("n")) & close)
+    more = one.join(open_.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int")), ["key", "part"]).where((F.col("x_label") != F.col("label")) & once & sized(F.col("x_n"), F.col("n")) & close)
     unordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     more = more.select(*unordered("x_doc_id", "doc_id")).distinct().join(tested.select(*unordered("a", "b")), ["a", "b"], "left_anti")
     more = scratch.write(more)

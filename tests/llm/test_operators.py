@@ -65,13 +65,53 @@ def test_near_duplicates(docs):
     assert near_dup.keep_one_of_each(docs).columns == docs.columns
 
 
-def test_odd_sketch_never_exceeds_the_difference():
-    for n, cut in ((5, 1), (100, 7), (4000, 900)):
+def test_odd_sketch_never_exceeds_the_difference(spark):
+    """Sketches of any two sets within a factor of two, folded by the operator's own expression."""
+    rows, differ, folded = [], [], 0
+    for n, cut, more in ((5, 1, 0), (100, 7, 0), (100, 7, 60), (85, 0, 85), (340, 5, 40), (1000, 5, 900), (4000, 900, 0), (4000, 10, 3900), (20000, 5, 19000)):
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate((a[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64))))
+        b = np.unique(np.concatenate((a[cut:], rng.integers(0, 1 << 63, cut + more, dtype=np.uint64))))
         x, y = near_dup.odd_sketch(a), near_dup.odd_sketch(b)
-        if len(x) == len(y):
-            assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+        folded += len(x) != len(y)
+        rows += [(len(rows), x.tolist(), y.tolist()), (len(rows) + 1, y.tolist(), x.tolist())]
+        differ += [len(np.setxor1d(a, b))] * 2
+    assert folded >= 3
+    found = {r.i: r.d for r in spark.createDataFrame(rows, "i int, x array<long>, y array<long>").select("i", near_dup.apart("x", "y").alias("d")).collect()}
+    assert all(found[i] <= differ[i] for i in found)
+
+
+def test_thresholds_that_bands_would_miss_are_refused(docs):
+    for options in ({"percent": 50}, {"percent": 40, "bands": 200, "rows": 2}, {"rows": 12}):
+        with pytest.raises(ValueError):
+            near_dup.near_duplicates(docs, **options)
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """Chains and stars around texts that hundreds share, with other texts in the same buckets."""
+    local = np.random.default_rng(12)
+    base = [f"c{i}" for i in range(120)]
+    texts = []
+    for i in range(320):
+        w = list(base)
+        for at in local.choice(120, int(local.integers(0, 9)), replace=False):
+            w[at] = f"n{local.integers(0, 40)}"
+        texts.append(" ".join(w))
+    sets = [set(shingle_set(t, 4).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, shingle=4).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) > 3
 
 
 def test_substring(docs):

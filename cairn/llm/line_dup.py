@@ -3,7 +3,8 @@
 Lines are cut at ``\\n`` and compared without surrounding blanks; blank lines do not count. A run of ``min_run`` lines goes
 if the same run stands earlier: in a document of smaller id, or further up in the same document. Longer repeated runs go
 whole, as each of their windows is such a run. With ``long_line`` a single line of at least so many words goes as well if
-it stands earlier, whatever its neighbours; shorter lines still need a repeated neighbour.
+it stands earlier, whatever its neighbours; shorter lines still need a repeated neighbour, so that headings, list marks and
+brackets stay. The query and the pipeline take ``LONG_LINE``.
 
 1. Winnowing: of every window of ``min_run`` lines the least hash is a fingerprint. Equal windows have equal fingerprints,
    so every repeated run is guaranteed to share one. A long line is a window of its own.
@@ -11,9 +12,13 @@ it stands earlier, whatever its neighbours; shorter lines still need a repeated
 3. Matches extend both ways as the windows around shared fingerprints; the earliest place of each window stays.
 4. The union of the later windows is cut out of the texts.
 
+A line that a large part of the documents has is one key of the joins in steps 2 and 3; its rows are on the left of a semi and a
+left join, which adaptive execution splits. All counts are aggregated before they move.
+
 Cases: null and empty texts have no lines and come back as they are; texts that lose nothing come back unchanged, blank
 lines included; a null id counts as larger than all; rows that repeat id and text get the same result each; different
-texts under one id never remove from each other; extra columns stay as they are; line hashes have 64 bits.
+texts under one id never remove from each other; extra columns stay as they are; windows are compared
+by hashes of 128 bits (fingerprints have 64: equal ones of different lines cost rows, not results).
 """
 
 from __future__ import annotations
@@ -45,13 +50,13 @@ def repeated_runs(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, m
     def hashes(filled):
         words = lambda s: F.regexp_count(s["x"], F.lit(r"\S+"))
         long = F.filter(F.transform(filled, lambda s, i: F.when(words(s) >= long_line, i + 1)), lambda p: p.isNotNull()) if long_line else F.array().cast("array<int>")
-        return F.struct(F.transform(filled, lambda s: F.xxhash64(s["x"])).alias("h"), long.alias("long"))
+        return F.struct(F.transform(filled, lambda s: F.xxhash64(s["x"])).alias("h"), F.transform(filled, lambda s: F.xxhash64(F.lit(1), s["x"])).alias("h2"), long.alias("long"))
 
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("__ord"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"), F.transform(F.array(_filled(_lines(text_col))), hashes)[0].alias("x"))
-    hashed = scratch.write(rows.select(*_KEYS, "x.h", "x.long").where((F.size("h") >= min_run) | (F.size("long") > 0)))
+    hashed = scratch.write(rows.select(*_KEYS, "x.h", "x.h2", "x.long").where((F.size("h") >= min_run) | (F.size("long") > 0)))
     starts = F.when(F.size("h") >= min_run, F.sequence(F.lit(1), F.size("h") - (min_run - 1))).otherwise(F.array().cast("array<int>"))
-    window = lambda s, k: F.slice("h", s, k)
-    windows = lambda starts, k: F.transform(starts, lambda s: F.struct((s - 1).alias("s"), F.lit(k).alias("k"), F.xxhash64(window(s, k)).alias("w"), F.array_min(window(s, k)).alias("f")))
+    window = lambda s, k, h="h": F.slice(h, s, k)
+    windows = lambda starts, k: F.transform(starts, lambda s: F.struct((s - 1).alias("s"), F.lit(k).alias("k"), F.xxhash64(window(s, k)).alias("w"), F.xxhash64(window(s, k, "h2")).alias("w2"), F.array_min(window(s, k)).alias("f")))
     least = F.transform(starts, lambda s: s + F.array_position(window(s, min_run), F.array_min(window(s, min_run))).cast("int") - 1)
     marks = scratch.write(
         hashed.select(
@@ -61,10 +66,10 @@ def repeated_runs(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, m
         )
     )
     shared = scratch.write(marks.select(F.explode("fingerprints").alias("f")).groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f"))
-    near = marks.select(*_KEYS, F.explode("windows").alias("x")).select(*_KEYS, "x.s", "x.k", "x.w", "x.f").join(shared, "f", "left_semi")
-    places = scratch.write(near.groupBy(*_KEYS, "w").agg(F.max("k").alias("k"), F.sort_array(F.collect_set("s")).alias("at")))
-    first = scratch.write(places.groupBy("w").agg(F.min("__ord").alias("first"), F.max("__ord").alias("last")).where("first < last"))
-    later = places.join(first, "w", "left").select(*_KEYS, "k", F.when(F.col("first") < F.col("__ord"), F.col("at")).otherwise(F.slice("at", F.lit(2), F.size("at"))).alias("at"))
+    near = marks.select(*_KEYS, F.explode("windows").alias("x")).select(*_KEYS, "x.s", "x.k", "x.w", "x.w2", "x.f").join(shared, "f", "left_semi")
+    places = scratch.write(near.groupBy(*_KEYS, "w", "w2").agg(F.max("k").alias("k"), F.sort_array(F.collect_set("s")).alias("at")))
+    first = scratch.write(places.groupBy("w", "w2").agg(F.min("__ord").alias("first"), F.max("__ord").alias("last")).where("first < last"))
+    later = places.join(first, ["w", "w2"], "left").select(*_KEYS, "k", F.when(F.col("first") < F.col("__ord"), F.col("at")).otherwise(F.slice("at", F.lit(2), F.size("at"))).alias("at"))
     lines = F.flatten(F.transform("at", lambda s: F.sequence(s, s + F.col("k") - 1)))
     out = later.where(F.size("at") > 0).groupBy(*_KEYS).agg(F.collect_list(lines).alias("at")).select(*_KEYS, F.sort_array(F.array_distinct(F.flatten("at"))).alias("gone"))
     out = scratch.write(out)
@@ -112,14 +117,14 @@ def line_runs_removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(*(F.col("__text").alias(c) if c == text_col else F.col(c) for c in df.columns), F.greatest(F.col("__n"), F.lit(0).cast("long")).alias("n_lines"), F.col("__gone").alias("n_removed"))
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, long_line: int | None = LONG_LINE) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of each row (null text: null digest)."""
-    out = line_runs_removed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text", min_run)
+    out = line_runs_removed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text", min_run, long_line)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-#: The same result by brute force over all windows, for DuckDB (``MIN_RUN`` = 2).
-ORACLE_SQL = """
+#: The same result by brute force over all windows and long lines, for DuckDB (``MIN_RUN`` = 2, ``LONG_LINE`` = 6).
+ORACLE_SQL = r"""
 WITH lines AS (
     SELECT doc_id, i, line, trim(line, ' ') AS x
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
@@ -129,8 +134,10 @@ WITH lines AS (
     SELECT a.doc_id, a.r, a.x AS x, b.x AS y FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.r = a.r + 1
 ), ranked AS (
     SELECT doc_id, r, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, r) AS k FROM windows
+), long AS (
+    SELECT doc_id, r, row_number() OVER (PARTITION BY x ORDER BY doc_id, r) AS k FROM filled WHERE len(regexp_extract_all(x, '\S+')) >= 6
 ), gone AS (
-    SELECT doc_id, r FROM ranked WHERE k > 1 UNION SELECT doc_id, r + 1 FROM ranked WHERE k > 1
+    SELECT doc_id, r FROM ranked WHERE k > 1 UNION SELECT doc_id, r + 1 FROM ranked WHERE k > 1 UNION SELECT doc_id, r FROM long WHERE k > 1
 ), spans AS (
     SELECT f.doc_id, f.i, g.r IS NOT NULL AS dead, f.r,
            max(CASE WHEN g.r IS NULL THEN f.r END) OVER (PARTITION BY f.doc_id ORDER BY f.r) AS before

@@ -213,6 +213,7 @@ def contamination(
     scratch = Scratch(df.sparkSession, "decontaminate")
     pairs = contaminated_pairs(df, benchmark, scratch, id_col, text_col, item_col, item_text_col, window, literal)
     found = scratch.write(pairs.groupBy(*_KEYS).agg(F.sum("windows").alias("n_windows"), F.sort_array(F.collect_list("item")).alias("items")))
+    scratch.keep(found)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), _id(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"))
     out = rows.join(found, _KEYS, "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0).cast("long")).alias("n_windows"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
@@ -223,4 +224,5 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     scratch = Scratch(df.sparkSession, "decontaminate")
     settings = {"item_col": "item_id", "item_text_col": "text", "window": WINDOW, "literal": LITERAL} | options
     found = scratch.write(contaminated_pairs(df, benchmark, scratch, id_col, text_col, **settings).select(*_KEYS).distinct())
+    scratch.keep(found)
     return df.join(found, (_id(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th")), "left_anti")

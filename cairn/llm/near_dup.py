@@ -197,7 +197,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = scratch.write(more)
     if not more.isEmpty():
         labels, _ = components(confirmed(more, known, shingle, percent).union(stars), scratch)
-    scratch.drop(members, labelled, open_)
+    scratch.keep(sets, alike, labels)
     out = sets.join(alike, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))

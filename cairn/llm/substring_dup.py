@@ -205,6 +205,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("*", (F.min("ord").over(key) < F.max("ord").over(key)).alias("shared"))
     found = rows.where("shared or known is not null").groupBy("ord", "th").agg(F.collect_list(F.when(F.col("known").isNull(), F.col("h"))).alias("hs"), F.collect_list("known").alias("knowns"))
     shared = scratch.write(found.join(copies, ["ord", "th"], "left_anti"))
+    scratch.keep(shared, copies)
     dealt = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord", "th")
     windows = _window_rows(dealt.join(shared, ["ord", "th"]), window)
     windows = windows.select("ord", "th", "s", "runs", "known", F.min("ord").over(Window.partitionBy("k", "k2")).alias("least"))

@@ -350,13 +350,17 @@ def _level(found: DataFrame, asked: DataFrame, dims: list[int], k: int, trees: i
     return asked.select("query", "dim").distinct().join(kth, "query", "left").select("query", level.alias("level"))
 
 
+def _own(rows: DataFrame, every: int) -> DataFrame:
+    """The rows that are queries."""
+    return rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).distinct()
+
+
 def candidates(df: DataFrame, scratch: Scratch, id_col: str, vector_col: str, every: int, k: int, trees: int, least: int, target: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(queries, asked, vectors, found): ``found`` has all (query, key, low, high, scored) of descent and ascent."""
+    """(rows, asked, vectors, found): the rows that take part, the distinct queries, the distinct vectors; ``found`` has all (query, key, low, high, scored) of descent and ascent."""
     rows = scratch.write(_valid(df, id_col, vector_col))
     # one more than asked for: a query is not its own neighbour
     vectors = scratch.write(_collapsed(rows, k + 1).withColumn("key", F.monotonically_increasing_id()))
-    queries = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).distinct()
-    distinct = scratch.write(queries.select("v").distinct().withColumn("query", F.monotonically_increasing_id()))
+    distinct = scratch.write(_own(rows, every).select("v").distinct().withColumn("query", F.monotonically_increasing_id()))
     entries = scratch.write(_entries(vectors, trees))
     blocks = scratch.write(_blocks(entries))
     scratch.drop(entries)
@@ -381,7 +385,7 @@ def candidates(df: DataFrame, scratch: Scratch, id_col: str, vector_col: str, ev
     up = deep.select(*_BLOCK, "query", "unit", "code", "from", "to").union(wide.select(*_BLOCK, "query", "unit", "code", "from", "to"))
     ascent = scratch.write(_scored(blocks, up, k + 1, None))
     scratch.drop(blocks)
-    return queries, distinct, vectors, descent.union(ascent)
+    return rows, distinct, vectors, descent.union(ascent)
 
 
 def search(
@@ -389,7 +393,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``."""
     scratch = Scratch(df.sparkSession, "vector-forest")
-    queries, asked, vectors, found = candidates(df, scratch, id_col, vector_col, every, k, trees, least, target)
+    rows, asked, vectors, found = candidates(df, scratch, id_col, vector_col, every, k, trees, least, target)
     pairs = found.groupBy("query", "key").agg(F.max("low").alias("low"), F.min("high").alias("high"))
     sure = F.get(F.sort_array(F.collect_list("low"), False), F.lit(k))
     kth = pairs.groupBy("query").agg(F.coalesce(sure, F.lit(-9.0)).alias("kth"))
@@ -407,5 +411,6 @@ def search(
     scored = both.mapInArrow(exact, "query long, score double, ids array<long>").select("query", (-F.col("score")).alias("m"), F.explode("ids").alias("id"))
     best = scored.groupBy("query").agg(F.slice(F.array_distinct(F.sort_array(F.collect_list(F.struct("m", "id")))), 1, k + 1).alias("best"))
     best = scratch.write(best.join(asked, "query").select("v", "best"))
-    ranked = queries.join(best, "v").select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k)).alias("at", "x"))
+    scratch.keep(rows, best)
+    ranked = _own(rows, every).join(best, "v").select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k)).alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.m")).alias("score"))

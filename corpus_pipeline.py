@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir) and works on all that the one before it kept; its result is written as
 Parquet and read again for the next. All stages but the last return the columns of ``docs``.
+
+Cases: null and empty texts have no language and go in the first stage; a null id is a document like any other and is nobody's
+copy; rows that repeat id and text share one fate; ties go to the smaller id; texts are read whole, however long; an empty
+table gives an empty result of the same columns; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from cairn.llm.storage import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; those without letters or in doubt go."""
+    """Documents whose language is told apart; those without letters and those that could be any language go."""
     return language_id.keep_identified(docs)
 
 
@@ -44,7 +48,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("leaks", leaks), ("tokens", tokens)]
 
-#: Trained models, full-set similarity and byte-pair merges are beyond SQL; tests hold the stages against brute force.
+#: Trained models, full-set similarity and byte-pair merges are beyond SQL; tests/llm/test_pipeline.py holds run() against plain versions of
+#: its stages.
 ORACLE_SQL = None
 
 
@@ -53,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir))
+        scratch.keep(docs)  # the table before it is not needed any more
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """Encodings of a sorted set of integer keys. Each has ``encode(sorted distinct keys) -> bytes`` and ``decode``.
 
-All hold the same set exactly, so a lookup is a decode and a binary search.
+All hold the same set exactly, so a lookup is a decode and a binary search; in the fast formats only of the runs that the keys
+fall into (``FINDERS``).
 """
 
 from __future__ import annotations
@@ -51,31 +52,36 @@ def _from_vb(data: bytes) -> np.ndarray:
 
 
 def _vb_plus(keys: np.ndarray) -> bytes:
-    out = bytearray()
-    for d in _deltas(keys).tolist():
-        if d < 255:
-            out.append(d)
-        else:
-            out.append(255)
-            out += varints(np.array([d - 254]))
-    return bytes(out)
+    """One byte for each delta below 255, else 255 and the rest as a varint."""
+    d = _deltas(keys)
+    wide = np.nonzero(d >= 255)[0]
+    low = np.minimum(d, 255).astype(np.uint8).tobytes()
+    out, at = [], 0
+    for i, rest in zip(wide.tolist(), (d[wide] - 254).tolist(), strict=True):
+        out += [low[at : i + 1], varints(np.array([rest]))]
+        at = i + 1
+    return b"".join([*out, low[at:]])
 
 
 def _from_vb_plus(data: bytes) -> np.ndarray:
-    out, i = [], 0
+    """Stretches of single bytes are read at once, only wide deltas one by one."""
+    out, i = [np.zeros(0, dtype=np.int64)], 0
     while i < len(data):
-        d = data[i]
-        i += 1
-        if d == 255:
+        wide = data.find(b"\xff", i)
+        stop = len(data) if wide < 0 else wide
+        out.append(np.frombuffer(data, dtype=np.uint8, count=stop - i, offset=i).astype(np.int64))
+        i = stop
+        if wide >= 0:
             d, shift = 254, 0
             while True:
+                i += 1
                 d += (data[i] & 127) << shift
                 shift += 7
-                i += 1
-                if data[i - 1] < 128:
+                if data[i] < 128:
                     break
-        out.append(d)
-    return np.cumsum(np.array(out, dtype=np.int64))
+            out.append(np.array([d], dtype=np.int64))
+            i += 1
+    return np.cumsum(np.concatenate(out))
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -103,8 +109,15 @@ def _from_packed(data: bytes) -> np.ndarray:
     return np.unique(np.cumsum(np.concatenate(out)))
 
 
-def _with_marks(body: Callable, parts: Callable, every: int) -> tuple[Callable, Callable]:
-    """A codec of runs of ``every`` keys, each with its first key and place up front: a lookup decodes one run only."""
+def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First key, place and size of each run."""
+    n = int.from_bytes(data[:4], "little")
+    marks = np.frombuffer(data, dtype="<u4", count=2 * n, offset=4).reshape(n, 2).astype(np.int64)
+    return marks[:, 0], 4 + 8 * n + np.cumsum(marks[:, 1]) - marks[:, 1], marks[:, 1]
+
+
+def _with_marks(body: Callable, parts: Callable, every: int) -> tuple[Callable, Callable, Callable]:
+    """A codec of runs of ``every`` keys, each with its first key and place up front, and a search that decodes only the runs it meets."""
 
     def encode(keys: np.ndarray) -> bytes:
         runs = [keys[i : i + every] for i in range(0, len(keys), every)]
@@ -112,16 +125,22 @@ def _with_marks(body: Callable, parts: Callable, every: int) -> tuple[Callable,
         marks = np.array([[r[0], len(e)] for r, e in zip(runs, encoded, strict=True)], dtype="<u4").reshape(-1, 2)
         return len(runs).to_bytes(4, "little") + marks.tobytes() + b"".join(encoded)
 
+    def run(data: bytes, first: int, at: int, size: int) -> np.ndarray:
+        return parts(data[at : at + size]) + first
+
     def decode(data: bytes) -> np.ndarray:
-        n = int.from_bytes(data[:4], "little")
-        marks = np.frombuffer(data, dtype="<u4", count=2 * n, offset=4).reshape(n, 2).astype(np.int64)
-        at, out = 4 + 8 * n, [np.zeros(0, dtype=np.int64)]
-        for first, size in marks.tolist():
-            out.append(parts(data[at : at + size]) + first)
-            at += size
-        return np.concatenate(out)
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(run(data, *m) for m in zip(*(x.tolist() for x in _marks(data)), strict=True))])
+
+    def find(data: bytes, keys: np.ndarray) -> np.ndarray:
+        firsts, at, sizes = _marks(data)
+        out = np.zeros(len(keys), dtype=bool)
+        own = np.searchsorted(firsts, keys, "right") - 1
+        for i in np.unique(own[own >= 0]).tolist():
+            here = np.nonzero(own == i)[0]
+            out[here] = np.isin(keys[here], run(data, int(firsts[i]), int(at[i]), int(sizes[i])))
+        return out
 
-    return encode, decode
+    return encode, decode, find
 
 
 def _roaring(keys: np.ndarray) -> bytes:
@@ -148,12 +167,14 @@ def _from_bits(data: bytes) -> np.ndarray:
     return np.nonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little"))[0].astype(np.int64)
 
 
+_FAST_VB_PLUS, _FAST_PACKED = _with_marks(_vb_plus, _from_vb_plus, 1024), _with_marks(_packed, _from_packed, 1024)
 BITMAPS: dict[str, tuple[Callable[[np.ndarray], bytes], Callable[[bytes], np.ndarray]]] = {
     "uncompressed": (_bits, _from_bits),
     "roar": (_roaring, _from_roaring),
     "vb": (_vb, _from_vb),
     "vb+": (_vb_plus, _from_vb_plus),
-    "fast-vb+": _with_marks(_vb_plus, _from_vb_plus, 1024),
+    "fast-vb+": _FAST_VB_PLUS[:2],
     "p-f-delta": (_packed, _from_packed),
-    "fast-p-f-delta": _with_marks(_packed, _from_packed, 1024),
+    "fast-p-f-delta": _FAST_PACKED[:2],
 }
+FINDERS: dict[str, Callable[[bytes, np.ndarray], np.ndarray]] = {"fast-vb+": _FAST_VB_PLUS[2], "fast-p-f-delta": _FAST_PACKED[2]}

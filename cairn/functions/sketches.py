@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
 
-from cairn.functions.codecs import BITMAPS
+from cairn.functions.codecs import BITMAPS, FINDERS
 
 _LOW = 0xFFFFFFFF
 
 
-class Bloom:
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
+
+
+class Filter:
+    """A kind of filter: ``build(keys) -> bytes``; ``opened(data)`` is read once and then asked about any number of keys."""
+
+    def opened(self, data: bytes) -> Callable[[list[bytes]], np.ndarray]:
+        raise NotImplementedError
+
+    def matches(self, data: bytes, keys: list[bytes]) -> np.ndarray:
+        return self.opened(data)(keys)
+
+
+class Bloom(Filter):
     """Bytes of bits, the last byte is the number of probes. Unreadable filters match everything."""
 
     def __init__(self, bits_per_key: int = 8):
@@ -30,18 +44,18 @@ class Bloom:
 
     @staticmethod
     def _places(keys: list[bytes], probes: int, bits: int) -> np.ndarray:
-        h = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
+        h = _hashes(keys)
         first, step = h & np.uint64(_LOW), h >> np.uint64(32)
         return (((first[:, None] + np.arange(probes, dtype=np.uint64) * step[:, None]) & np.uint64(_LOW)) % np.uint64(bits)).astype(np.int64)
 
-    def matches(self, data: bytes, keys: list[bytes]) -> np.ndarray:
+    def opened(self, data: bytes) -> Callable[[list[bytes]], np.ndarray]:
         if len(data) < 2 or data[-1] > 30:
-            return np.ones(len(keys), dtype=bool)
+            return lambda keys: np.ones(len(keys), dtype=bool)
         on = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=len(data) - 1), bitorder="little")
-        return on[self._places(keys, data[-1], len(on))].all(axis=1)
+        return lambda keys: on[self._places(keys, data[-1], len(on))].all(axis=1)
 
 
-class Bitmap:
+class Bitmap(Filter):
     """An exact set of the keys' first four bytes (least first), in one of seven formats."""
 
     def __init__(self, fmt: str = "uncompressed", key_bits: int = 24):
@@ -53,8 +67,12 @@ class Bitmap:
             raise ValueError(f"a key does not fit {self.key_bits} bits")
         return BITMAPS[self.fmt][0](ints)
 
-    def matches(self, data: bytes, keys: list[bytes]) -> np.ndarray:
-        return np.isin([int.from_bytes(k[:4], "little") for k in keys], BITMAPS[self.fmt][1](data))
+    def opened(self, data: bytes) -> Callable[[list[bytes]], np.ndarray]:
+        ints = lambda keys: np.array([int.from_bytes(k[:4], "little") for k in keys], dtype=np.int64)
+        if self.fmt in FINDERS:
+            return lambda keys: FINDERS[self.fmt](data, ints(keys))
+        held = BITMAPS[self.fmt][1](data)
+        return lambda keys: np.isin(ints(keys), held)
 
 
 def fingerprint(h: int, bits: int) -> int:
@@ -68,7 +86,7 @@ def other_bucket(i: int, mark: int) -> int:
 
 
 @dataclass
-class Cuckoo:
+class Cuckoo(Filter):
     """Four marks a bucket, each with a value of ``value_bits``; what finds no home goes to a further table."""
 
     mark_bits: int = 12
@@ -105,18 +123,34 @@ class Cuckoo:
             todo = left
         return tables
 
+    def _hits(self, tables: list[np.ndarray], keys: list[bytes]) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+        """For each table and home bucket: (entries, whether they bear the key's mark), both (keys, 4)."""
+        h = _hashes(keys)
+        mark = np.maximum(h >> np.uint64(64 - self.mark_bits), np.uint64(1)).astype(np.int64)
+        for t in tables:
+            i = (h & np.uint64(len(t) - 1)).astype(np.int64)
+            for home in (i, (i ^ (mark * 0x5BD1E995 & _LOW)) & (len(t) - 1)):
+                entries = t[home]
+                yield entries, entries >> self.value_bits == mark[:, None]
+
     def values(self, tables: list[np.ndarray], key: bytes) -> list[int]:
         """Candidate values of a key; every value put in is among them."""
-        h = xxhash.xxh64_intdigest(key)
-        mark, found = fingerprint(h, self.mark_bits), set()
-        for t in tables:
-            i = h & (len(t) - 1)
-            for b in {i, other_bucket(i, mark) & (len(t) - 1)}:
-                found |= {int(x) & ((1 << self.value_bits) - 1) for x in t[b] if int(x) >> self.value_bits == mark}
-        return sorted(found)
+        return self.values_of(tables, [key])[0]
+
+    def values_of(self, tables: list[np.ndarray], keys: list[bytes]) -> list[list[int]]:
+        """Candidate values of each key, sorted."""
+        found: list[set[int]] = [set() for _ in keys]
+        for entries, hit in self._hits(tables, keys):
+            for row, slot in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                found[row].add(int(entries[row, slot]) & ((1 << self.value_bits) - 1))
+        return [sorted(x) for x in found]
 
     def build(self, keys: Iterable[bytes]) -> bytes:
-        tables = self.build_tables((k, 0) for k in keys)
+        return self.build_values((k, 0) for k in keys)
+
+    def build_values(self, items: Iterable[tuple[bytes, int]]) -> bytes:
+        """A filter of (key, value) pairs; a key can have several values."""
+        tables = self.build_tables(items)
         head = np.array([len(tables), *(len(t) for t in tables)], dtype="<u4")
         return head.tobytes() + b"".join(t.astype("<u8").tobytes() for t in tables)
 
@@ -130,9 +164,16 @@ class Cuckoo:
             at += 32 * s
         return out
 
-    def matches(self, data: bytes, keys: list[bytes]) -> np.ndarray:
+    def opened(self, data: bytes) -> Callable[[list[bytes]], np.ndarray]:
         tables = self.load(data)
-        return np.array([bool(self.values(tables, k)) for k in keys], dtype=bool)
+
+        def ask(keys: list[bytes]) -> np.ndarray:
+            out = np.zeros(len(keys), dtype=bool)
+            for _, hit in self._hits(tables, keys):
+                out |= hit.any(axis=1)
+            return out
+
+        return ask
 
 
 FILTERS = {"bloom": Bloom, "cuckoo": Cuckoo} | {f"bitmap-{f}": (lambda f=f, **kw: Bitmap(f, **kw)) for f in BITMAPS}

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import from_le32
-from cairn.functions.sketches import FILTERS
+from cairn.functions.sketches import FILTERS, Cuckoo
 
 MOST_KEYS = 1 << 20
-SALTS = 8
+KEYS_A_TASK = 1 << 18
+WORDS = 1024  # of 32 bits in a bitmap of 4096 bytes
 REGISTRY: dict[str, Callable] = dict(FILTERS)
 
 
@@ -22,60 +24,97 @@ def register(kind: str, factory: Callable) -> None:
     REGISTRY[kind] = factory
 
 
-def build_filters(keys: DataFrame, by: list[str], kind: str = "bloom", most: int = MOST_KEYS, **options) -> DataFrame:
-    """(by, shares, share, n, filter) from distinct (by, key): as many filters for each group as keep each below ``most`` keys."""
-    own = REGISTRY[kind](**options)
-    keys = keys.select(*by, F.col("key").cast("binary").alias("key")).distinct()
+def _dealt(keys: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``keys`` with shares and share: as many shares for each group as keep each below ``most`` rows."""
     sizes = keys.groupBy(*by).agg(F.ceil(F.count("*") / (most / 2)).cast("int").alias("shares"))
-    dealt = keys.join(sizes, by).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
-    kinds = ", ".join(f"{c} {keys.schema[c].dataType.simpleString()}" for c in by)
+    return keys.join(sizes, by).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+
+
+def _built(rows: DataFrame, by: list[str], most: int, build: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
+    def one(group: pd.DataFrame) -> pd.DataFrame:
         head = group.iloc[:1][[*by, "shares", "share"]].copy()
-        head["n"], head["filter"] = len(group), [own.build([bytes(k) for k in group["key"]])]
+        head["n"], head["filter"] = len(group), [build(group)]
         return head
 
-    return dealt.groupBy(*by, "shares", "share").applyInPandas(build, f"{kinds}{', ' if by else ''}shares int, share int, n long, filter binary")
+    return _dealt(rows, by, most).groupBy(*by, "shares", "share").applyInPandas(one, f"{kinds}{', ' if by else ''}shares int, share int, n long, filter binary")
 
 
-def probe(keys: DataFrame, filters: DataFrame, by: list[str], kind: str = "bloom", **options) -> DataFrame:
-    """(by, key) of the keys that their group's filter lets through; groups without a filter let nothing through.
-
-    A filter travels once to each of ``SALTS`` places and the keys stream past it.
-    """
+def build_filters(keys: DataFrame, by: list[str], kind: str = "bloom", most: int = MOST_KEYS, **options) -> DataFrame:
+    """(by, shares, share, n, filter) from (by, key), repeats counting once: as many filters for each group as keep each below ``most`` keys."""
     own = REGISTRY[kind](**options)
+    keys = keys.select(*by, F.col("key").cast("binary").alias("key")).distinct()
+    return _built(keys, by, most, lambda group: own.build([bytes(k) for k in group["key"]]))
+
+
+def build_value_filters(rows: DataFrame, by: list[str], value: str, mark_bits: int = 8, value_bits: int = 24, most: int = MOST_KEYS) -> DataFrame:
+    """(by, shares, share, n, filter): cuckoo filters of (by, key) that hold the integers of ``value`` with their keys."""
+    own = Cuckoo(mark_bits, value_bits)
+    rows = rows.select(*by, F.col("key").cast("binary").alias("key"), F.col(value).cast("long").alias("value")).distinct()
+    return _built(rows, by, most, lambda group: own.build_values((bytes(k), int(v)) for k, v in zip(group["key"], group["value"], strict=True)))
+
+
+def _asked(keys: DataFrame, filters: DataFrame, by: list[str], opened: Callable, answer: Callable, extra: str = "") -> DataFrame:
+    """``answer(opened filter, batch of keys)`` gives (places of the keys, columns besides): each filter meets its keys in as many
+    places as keep each below ``KEYS_A_TASK`` keys."""
     keys = keys.select(*by, F.col("key").cast("binary").alias("key"))
     sizes = filters.select(*by, "shares").distinct()
     joined = keys.join(sizes, by) if by else keys.crossJoin(F.broadcast(sizes))  # one row where there is one group
-    asked = joined.withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")).withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+    asked = joined.withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+    salts = asked.groupBy(*by, "share").agg(F.ceil(F.count("*") / KEYS_A_TASK).cast("int").alias("salts"))
+    asked = asked.join(salts, [*by, "share"]).withColumn("salt", F.pmod(F.hash("key"), F.col("salts")))
     asked = asked.select(*by, "share", "salt", F.lit(None).cast("binary").alias("filter"), "key")
-    held = filters.select(*by, "share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"))
+    held = filters.join(salts, [*by, "share"]).select(*by, "share", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"))
     place = [*by, "share", "salt"]
     dealt = held.union(asked).repartition(*place).sortWithinPartitions(*place, F.col("filter").desc_nulls_last())
     k = len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, data = None, b""
+        place, held = None, None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            passed, waiting = [], []
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(k + 2)), strict=True))
+            filters, asked = batch.column(k + 2), batch.column(k + 3).to_pylist()
+            rows, more = [], []
+            at, n = 0, batch.num_rows
+            while at < n:
+                if filters[at].is_valid:
+                    place, held = groups[at], opened(filters[at].as_py())
+                    at += 1
+                    continue
+                stop = at + 1
+                while stop < n and groups[stop] == groups[at] and not filters[stop].is_valid:
+                    stop += 1
+                if groups[at] == place:
+                    places, columns = answer(held, asked[at:stop])
+                    rows += [at + i for i in places]
+                    more.append(columns)
+                at = stop
+            out = batch.take(pa.array(rows, pa.int64())).select([*range(k), k + 3])
+            for name, kind in (x.split() for x in extra.split(", ") if x):
+                out = out.append_column(name, pa.array([v for columns in more for v in columns], pa.int64() if kind == "long" else pa.string()))
+            yield out
+
+    kinds = [*(f"{c} {keys.schema[c].dataType.simpleString()}" for c in by), "key binary", *([extra] if extra else [])]
+    return dealt.mapInArrow(run, ", ".join(kinds))
+
+
+def probe(keys: DataFrame, filters: DataFrame, by: list[str], kind: str = "bloom", **options) -> DataFrame:
+    """(by, key) of the keys that their group's filter lets through; groups without a filter let nothing through."""
+    own = REGISTRY[kind](**options)
+    opened = own.opened if hasattr(own, "opened") else lambda data: lambda asked: own.matches(data, asked)
+    return _asked(keys, filters, by, opened, lambda held, asked: (np.nonzero(held(asked))[0].tolist(), []))
+
 
-            def settle() -> None:
-                if waiting:
-                    yes = own.matches(data, [columns[k + 3][i] for i in waiting])
-                    passed.extend(i for i, y in zip(waiting, yes, strict=True) if y)
-                    waiting.clear()
+def candidate_values(keys: DataFrame, filters: DataFrame, by: list[str], mark_bits: int = 8, value_bits: int = 24) -> DataFrame:
+    """(by, key, value): the values that a cuckoo filter gives for each key: all that were put in, and by chance others."""
+    own = Cuckoo(mark_bits, value_bits)
 
-            for i in range(batch.num_rows):
-                if columns[k + 2][i] is not None:
-                    settle()
-                    place, data = tuple(columns[j][i] for j in range(k + 2)), columns[k + 2][i]
-                elif place == tuple(columns[j][i] for j in range(k + 2)):
-                    waiting.append(i)
-            settle()
-            yield batch.take(pa.array(passed, pa.int64())).select([*range(k), k + 3])
+    def answer(tables, asked: list[bytes]) -> tuple[list[int], list[int]]:
+        found = own.values_of(tables, asked)
+        return [i for i, x in enumerate(found) for _ in x], [v for x in found for v in x]
 
-    return dealt.mapInArrow(run, ", ".join([*(f"{c} {keys.schema[c].dataType.simpleString()}" for c in by), "key binary"]))
+    return _asked(keys, filters, by, own.load, answer, "value long")
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
@@ -92,12 +131,15 @@ def bitmap_united(bits: DataFrame) -> DataFrame:
 
 
 def in_bitmap(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Those of ``rows`` whose key is set: a join on buckets and a bit test, no keys are gathered."""
-    held = bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
-    at = F.bitmap_bit_position(key)
-    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(bitmap_bit_position(`{key}`) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    out = rows.withColumn("__bucket", F.bitmap_bucket_number(key)).join(held, "__bucket")
-    return out.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__bucket", "__bits")
+    """Those of ``rows`` whose key is set: a semi-join on the words of 32 keys that have a bit set, each carrying its bits."""
+    word = F.explode(F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.struct(i.alias("at"), F.substring(F.col("bits"), i * 4 + 1, F.lit(4)).alias("word"))))
+    held = bits.select("bucket", word.alias("x")).where(F.col("x.word") != F.lit(bytearray(4)))
+    held = held.select(F.col("bucket").alias("__bucket"), F.col("x.at").alias("__at"), F.conv(F.hex("x.word"), 16, 10).cast("long").alias("__word"))
+    bit = F.bitmap_bit_position(key)
+    out = rows.withColumns({"__bucket": F.bitmap_bucket_number(key), "__at": F.floor(bit / 32).cast("int")})
+    within = (bit % 32).cast("int")
+    place = 24 - F.floor(within / 8) * 8 + within % 8  # the first byte of a word is its highest
+    return out.join(held, ["__bucket", "__at"]).where(F.getbit(F.col("__word"), place.cast("int")) == 1).drop("__bucket", "__at", "__word")
 
 
 def le32_domain(keys: DataFrame, bits: int) -> DataFrame:

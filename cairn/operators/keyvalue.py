@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from cairn.operators.prefix import running
 from cairn.plans.options import Mode
 
 
@@ -113,9 +114,9 @@ def last_wins(kv: DataFrame, stop_at_gap: bool = False) -> DataFrame:
 
 def tables_cut(kv: DataFrame, limit: int, by: tuple[str, ...] = ("part", "epoch")) -> DataFrame:
     """``kv`` with ``tbl``: a new table begins once ``limit`` bytes of keys and values are buffered."""
-    before = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    return kv.withColumn("tbl", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / limit).cast("int"))
+    size = (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")
+    out = running(kv, ["seq"], size, "__before", "sum", list(by))
+    return out.withColumn("tbl", F.floor(F.col("__before") / limit).cast("int")).drop("__before")
 
 
 def table_stats(kv: DataFrame, by: tuple[str, ...] = ("part", "epoch", "tbl")) -> DataFrame:

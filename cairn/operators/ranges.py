@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +51,14 @@ class Bounds:
         fresh = tuple((low + i * step, high if i == self.parts - 1 else low + (i + 1) * step) for i in range(self.parts))
         return Bounds(self.parts, self.previous, (*fresh, whole, *before[:-1]), self.updates + 1)
 
+    def to_text(self) -> str:
+        return json.dumps({"parts": self.parts, "previous": self.previous, "ranges": self.ranges, "updates": self.updates})
+
+    @classmethod
+    def from_text(cls, text: str) -> Bounds:
+        raw = json.loads(text)
+        return cls(raw["parts"], raw["previous"], tuple(None if r is None else tuple(r) for r in raw["ranges"]), raw["updates"])
+
     def route(self, key: Column) -> Column:
         """Number of the first active range that holds ``key``, else of the oldest one."""
         out = F.lit(len(self.ranges) - 1)
@@ -89,22 +98,55 @@ def manifest(rows: DataFrame, key: str = "fkey") -> DataFrame:
 
 
 class RangeTable:
-    """A write-only table of float keys in range-ordered files: ``rows/epoch=*/blk=*`` and a manifest.
+    """A write-only table of float keys in range-ordered files. There is no point read.
 
-    ``add`` routes by the bounds of the moment; ``update_bounds`` closes the blocks so far. There is no point read.
+    ``rows/batch=B`` holds what one ``add`` wrote, ``manifest/batch=B`` a row for each of its blocks, ``bounds/batch=B`` the bounds
+    once it was written and after any update since. A batch that is added again overwrites its own files and is routed by the
+    bounds it was routed by before, so that a restart changes nothing. Opening a path again goes on with the bounds left there.
     """
 
-    def __init__(self, spark, path: str, parts: int = 1, previous: int = 2, skip_sort: bool = False):
-        self.spark, self.path, self.bounds, self.skip_sort = spark, path, Bounds(parts, previous), skip_sort
+    def __init__(self, spark: SparkSession, path: str, parts: int = 1, previous: int = 2, skip_sort: bool = False):
+        self.spark, self.path, self.skip_sort = spark, path, skip_sort
+        self.batch = -1
+        stored = self._stored()
+        self.initial = Bounds(parts, previous) if -1 not in stored else stored[-1]
+        self.bounds = stored[max(stored)] if stored else self.initial
+        self.batch = max(stored, default=-1)
+
+    def _stored(self) -> dict[int, Bounds]:
+        """Bounds by batch; a row for each batch is read, the latest of them is needed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bounds")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return {}
+        rows = self.spark.read.schema("value string, batch int").text(f"{self.path}/bounds").collect()
+        return {r["batch"]: Bounds.from_text(r["value"]) for r in rows}
+
+    def _store(self) -> None:
+        self.spark.range(1).select(F.lit(self.bounds.to_text()).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/bounds/batch={self.batch}")
 
     def update_bounds(self, low: float, high: float) -> None:
         self.bounds = self.bounds.updated(low, high)
-
-    def add(self, df: DataFrame, epoch: int, key: str = "fkey") -> None:
+        self._store()
+
+    def add(self, df: DataFrame, epoch: int, key: str = "fkey", batch: int | None = None) -> None:
+        """Write rows by the bounds of the moment; with ``batch`` by those that the batch before left."""
+        if batch is None:
+            self.batch += 1
+        else:
+            stored = self._stored() if batch <= self.batch else {}
+            self.bounds = stored.get(batch - 1, self.initial) if stored else self.bounds
+            self.batch = batch
         rows = routed(df.withColumn("epoch", F.lit(epoch)), key, self.bounds)
         dealt = rows.repartitionByRange("blk", key)
         dealt = dealt if self.skip_sort else dealt.sortWithinPartitions("blk", key)
-        dealt.write.mode("append").partitionBy("epoch", "blk").parquet(f"{self.path}/rows")
+        dealt.write.mode("overwrite").partitionBy("blk").parquet(f"{self.path}/rows/batch={self.batch}")
+        back = self.spark.read.parquet(f"{self.path}/rows/batch={self.batch}")
+        manifest(back, key).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={self.batch}")
+        self._store()
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
 
-    def manifest(self, key: str = "fkey") -> DataFrame:
-        return manifest(self.spark.read.parquet(f"{self.path}/rows"), key)
+    def manifest(self) -> DataFrame:
+        """(batch, epoch, updcnt, blk, rmin, rmax, smallest, largest, n, oob), as written with the rows."""
+        return self.spark.read.parquet(f"{self.path}/manifest")

@@ -59,15 +59,21 @@ def finish(spark: SparkSession, path: str, query: StreamingQuery) -> None:
     _put_meta(spark, path, options, epochs, True)
 
 
-def write_ranges(stream: DataFrame, table: RangeTable, checkpoint: str, key: str = "fkey") -> StreamingQuery:
-    """Write micro-batches by range; each batch's observed range becomes the expected one of the next."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        table.add(batch, number, key)
+def put_ranges(table: RangeTable, batch: DataFrame, number: int, key: str = "fkey") -> None:
+    """One micro-batch by range; its observed range becomes the expected one of the next. The same batch again changes nothing."""
+    batch = batch.persist()
+    try:
+        table.add(batch, number, key, batch=number)
         low, high = batch.agg(F.min(key), F.max(key)).first()
-        if low is not None:
-            table.update_bounds(float(low), float(high))
+    finally:
+        batch.unpersist()
+    if low is not None:
+        table.update_bounds(float(low), float(high))
 
+
+def write_ranges(stream: DataFrame, table: RangeTable, checkpoint: str, key: str = "fkey") -> StreamingQuery:
+    """Write micro-batches by range, each by the range that the one before was seen to have."""
+    put = lambda batch, number: put_ranges(table, batch, number, key)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

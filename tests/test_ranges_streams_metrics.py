@@ -51,7 +51,7 @@ def test_running_and_numbers_match_plain_python(spark):
     for a, b, v in sorted(rows):
         want[b] = total
         total += v
-    assert {r.b: r.s for r in running(df, ["a", "b"], F.col("v"), "s", width=50).collect()} == want
+    assert {r.b: r.s for r in running(df, ["a", "b"], F.col("v"), "s", stretches=5).collect()} == want
     assert sorted(r.n for r in numbered(df, ["b"], "n", 5).collect()) == list(range(5, 1005))
 
 

@@ -3,8 +3,8 @@
 Texts and benchmark items are cut into words. Numbers, names (capitalised words inside a sentence, but not words in capitals
 throughout, as texts can be shouted) and units after a number become typed placeholders, all else is lower-cased, so that a
 question with other numbers or names in it has the template of the original. A capitalised word that begins a sentence may be
-a name or not: in a first template it is lower-cased, in a second it is a name, and both are looked up. Windows of ``WINDOW``
-template words (for shorter items: the whole item) are hash-joined with those of the benchmark; windows of placeholders alone
+a name or not: texts are looked up with it as a name, and items are indexed both with it as a name and with it in small letters.
+Windows of ``WINDOW`` template words (for shorter items: the whole item) are hash-joined with those of the benchmark; windows of placeholders alone
 are not looked up. Each match lies
 on a diagonal, the distance between the places in document and item; on a diagonal the slots must be filled consistently:
 one value of the item stands for one value of the document. Windows that fill a slot otherwise than most of the diagonal are
@@ -24,6 +24,8 @@ ids are ignored; extra columns stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,34 +104,30 @@ def _places(n: Column, k: int) -> Column:
     return F.when(n >= k, F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
-def window_keys(text: Column, sizes: list[int], plain_sizes: list[int] | None = None) -> Column:
-    """(place, size, hash in the first template, hash in the second, plain) of every window of each size.
+FIRST, SECOND, PLAIN = "first", "second", "plain"
+
+
+def window_keys(text: Column, form: str, sizes: list[int]) -> Column:
+    """(at, k, w): place, size and hash of every window of each size.
 
-    Windows of ``plain_sizes`` are hashed as they stand, in small letters.
+    The words of ``form`` FIRST are those of the first template, of SECOND those of the second, of PLAIN the words as they stand in
+    small letters.
     """
-    window = "struct<at:int,k:int,one:bigint,two:bigint,plain:boolean>"
 
     def of_size(h: Column, k: int) -> Column:
-        hashed = lambda form, s: F.xxhash64(F.slice(h[form], s, k), F.lit(k))
-        return F.transform(_places(F.size(h["one"]), k), lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), hashed("one", s).alias("one"), hashed("two", s).alias("two"), F.lit(False).alias("plain")))
+        n, seed = F.size(h), F.lit(-k if form == PLAIN else k)
+        places = F.when(n >= k, F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), F.xxhash64(F.slice(h, s, k), seed).alias("w")))
 
-    def plain_of_size(h: Column, k: int) -> Column:
-        hashed = lambda s: F.xxhash64(F.slice(h, s, k), F.lit(-k))
-        return F.transform(_places(F.size(h), k), lambda s: F.struct((s - 1).alias("at"), F.lit(k).alias("k"), hashed(s).alias("one"), hashed(s).alias("two"), F.lit(True).alias("plain")))
+    def of(h: Column) -> Column:
+        parts = [of_size(h, k) for k in sizes]
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     hashes = lambda words: F.transform(words, lambda y: F.xxhash64(y))
-    both = lambda m: F.struct(hashes(first_template(m)).alias("one"), hashes(second_template(m)).alias("two"))
-    lower = lambda raw: F.transform(raw, lambda x: F.xxhash64(F.lower(bare(x))))
-    joined = lambda parts: F.concat(*parts) if len(parts) > 1 else parts[0]
-    out = [_bound(_bound(_bound(words(text), template), both), lambda h: joined([of_size(h, k) for k in sizes]))] if sizes else []
-    out += [_bound(_bound(words(text), lower), lambda h: joined([plain_of_size(h, k) for k in plain_sizes]))] if plain_sizes else []
-    return joined(out) if out else F.array().cast(f"array<{window}>")
-
-
-def _either(x: Column) -> Column:
-    """(form, hash) of a window: form 0 if both templates agree on it, else 1 and 2."""
-    form = lambda n, w: F.struct(F.lit(n).alias("form"), w.alias("w"))
-    return F.when(x["one"] == x["two"], F.array(form(0, x["one"]))).otherwise(F.array(form(1, x["one"]), form(2, x["two"])))
+    if form == PLAIN:
+        return _bound(_bound(words(text), lambda raw: F.transform(raw, lambda x: F.xxhash64(F.lower(bare(x))))), of)
+    own = first_template if form == FIRST else second_template
+    return _bound(_bound(_bound(words(text), template), lambda m: hashes(own(m))), of)
 
 
 def _forms(itext: Column) -> Column:
@@ -154,12 +152,20 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int, lite
 
 def _keys(items: DataFrame, sizes: list[int], plain_sizes: list[int]) -> DataFrame:
     """(item, iat, k, w): the windows of the benchmark, in both templates of every form of an item, or plain."""
-    forms = items.where("not plain").select("item", "k", F.explode(_forms(F.col("itext"))).alias("itext"))
-    own = forms.select("item", F.col("k").alias("own"), _bound(words(F.col("itext")), template).alias("marked"), "itext").withColumn("x", F.explode(window_keys(F.col("itext"), sizes))).where("x.k = own")
-    said = _literal(F.slice("marked", F.col("x.at") + 1, F.col("own"))) > 0
-    keys = own.where(said).select("item", F.col("x.at").alias("iat"), "x.k", F.explode(F.array("x.one", "x.two")).alias("w"))
-    plain = items.where("plain").select("item", F.col("k").alias("own"), F.explode(window_keys(F.col("itext"), [], plain_sizes)).alias("x")).where("x.k = own")
-    return keys.union(plain.select("item", F.col("x.at").alias("iat"), "x.k", F.col("x.one").alias("w"))).distinct()
+    forms = items.where("not plain").select("item", F.col("k").alias("own"), F.explode(_forms(F.col("itext"))).alias("itext"))
+    marked = forms.withColumn("marked", _bound(words(F.col("itext")), template))
+    parts = []
+    if sizes:
+        for form in (FIRST, SECOND):
+            own = marked.withColumn("x", F.explode(window_keys(F.col("itext"), form, sizes))).where("x.k = own")
+            parts.append(own.where(_literal(F.slice("marked", F.col("x.at") + 1, F.col("own"))) > 0))
+    if plain_sizes:
+        plain = items.where("plain").withColumnRenamed("k", "own")
+        parts.append(plain.withColumn("x", F.explode(window_keys(F.col("itext"), PLAIN, plain_sizes))).where("x.k = own"))
+    out = [x.select("item", F.col("x.at").alias("iat"), "x.k", "x.w") for x in parts]
+    if not out:
+        return items.select("item", F.lit(0).alias("iat"), "k", F.lit(0).cast("long").alias("w")).where("false")
+    return reduce(DataFrame.union, out).distinct()
 
 
 def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, literal: int) -> DataFrame:
@@ -171,39 +177,35 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id
     count = keys.count()
     distinct = keys.select("k", "w").distinct()
     docs = df.select(_id(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn("__th", F.xxhash64("__text"))
-    mine = docs.select(*_KEYS, F.explode(window_keys(F.col("__text"), sizes, plain_sizes)).alias("x")).select(*_KEYS, "x.at", "x.k", F.explode(_either(F.col("x"))).alias("y")).select(*_KEYS, "at", "k", "y.form", "y.w")
+    asked = [window_keys(F.col("__text"), form, own) for form, own in ((SECOND, sizes or [window]), (PLAIN, plain_sizes)) if own]
+    mine = docs.select(*_KEYS, F.explode(F.concat(*asked) if len(asked) > 1 else asked[0]).alias("x")).select(*_KEYS, "x.at", "x.k", "x.w")
     near = scratch.write(mine.join(F.broadcast(distinct) if count <= BROADCAST_WINDOWS else distinct, ["k", "w"], "left_semi").distinct())
-    hits = near.join(keys, ["k", "w"]).select(*_KEYS, "item", "k", "at", "form", (F.col("at") - F.col("iat")).alias("diagonal"))
-    in_form = lambda n: F.sort_array(F.collect_set(F.when(F.col("form").isin(0, n), F.col("at"))))
-    found = hits.groupBy(*_KEYS, "item", "diagonal", "k").agg(in_form(1).alias("one"), in_form(2).alias("two"), F.max("form").alias("most"))
-    by_form = F.array(F.struct(F.lit(1).alias("form"), F.col("one").alias("ats")), F.struct(F.lit(2).alias("form"), F.when(F.col("most") == 2, F.col("two")).otherwise(F.array().cast("array<int>")).alias("ats")))
-    found = scratch.write(found.select(*_KEYS, "item", "diagonal", "k", F.explode(by_form).alias("x")).select(*_KEYS, "item", "diagonal", "k", "x.form", "x.ats").where(F.size("ats") > 0))
+    hits = near.join(keys, ["k", "w"]).select(*_KEYS, "item", "k", "at", (F.col("at") - F.col("iat")).alias("diagonal"))
+    found = scratch.write(hits.groupBy(*_KEYS, "item", "diagonal", "k").agg(F.sort_array(F.collect_set("at")).alias("ats")))
     some = docs.join(found.select(*_KEYS).distinct(), _KEYS, "left_semi").distinct()
     raw = lambda c: F.transform(words(F.col(c)), bare)
-    marked = some.select(*_KEYS, raw("__text").alias("raw"), _bound(words(F.col("__text")), template).alias("marked"))
-    # both are written: as expressions they would be made anew for every word of the lambdas below
-    texts = scratch.write(marked.select(*_KEYS, "raw", _bound(F.col("marked"), first_template).alias("first"), _bound(F.col("marked"), second_template).alias("second")))
+    # written, as are the steps below: as expressions they would be made anew for every word of the lambdas that use them
+    texts = scratch.write(some.select(*_KEYS, raw("__text").alias("raw"), _bound(_bound(words(F.col("__text")), template), second_template).alias("words")))
     originals = scratch.write(items.select("item", "plain", raw("itext").alias("iraw")))
     slots = found.join(texts, _KEYS).join(originals, "item")
-    template_word = lambda p: F.when(F.col("form") == 1, F.element_at("first", p + 1)).otherwise(F.element_at("second", p + 1))
     place = lambda a, p: F.element_at(a, p + 1)
     covered = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda s: F.sequence(s, s + F.col("k") - 1))))
-    is_slot = lambda p: template_word(p).isin(NUMBER, NAME, UNIT)
+    is_slot = lambda p: place("words", p).isin(NUMBER, NAME, UNIT)
     filled = F.transform(F.filter(covered(F.col("ats")), is_slot), lambda p: F.struct(p.alias("p"), place(F.col("iraw"), p - F.col("diagonal")).alias("a"), place(F.col("raw"), p).alias("b")))
-    slots = slots.withColumn("filled", filled)
+    slots = scratch.write(slots.select(*_KEYS, "item", "diagonal", "k", "ats", "plain", F.size("iraw").alias("n"), filled.alias("filled")))
     # what each value of the item stands for most often (on ties: for itself); windows with another value in it do not count
     votes = lambda x: F.transform(F.filter("filled", lambda q: q["a"] == x), lambda q: q["b"])
     ranked = lambda x, bs: F.array_max(F.transform(F.array_distinct(bs), lambda y: F.struct(F.size(F.filter(bs, lambda z: z == y)).alias("n"), (y == x).alias("same"), y.alias("b"))))
     meant = F.transform(F.array_distinct(F.transform("filled", lambda q: q["a"])), lambda x: F.struct(x.alias("a"), _bound(votes(x), lambda bs: ranked(x, bs))["b"].alias("b")))
-    slots = slots.withColumn("meant", meant)
+    slots = scratch.write(slots.withColumn("meant", meant))
     odd = F.transform(F.filter("filled", lambda q: ~F.array_contains("meant", F.struct(q["a"].alias("a"), q["b"].alias("b")))), lambda q: q["p"])
-    slots = slots.withColumn("odd", odd)
-    good = F.filter("ats", lambda s: ~F.exists("odd", lambda p: (p >= s) & (p < s + F.col("k"))))
-    slots = slots.withColumn("good", good)
-    literal_words = F.size(F.filter(covered(F.col("good")), lambda p: ~is_slot(p)))
-    whole = (F.size(covered(F.col("good"))) == F.size("iraw")) & ~F.exists("filled", lambda q: F.lower(q["a"]) != F.lower(q["b"]))
-    held = slots.where((F.size("good") > 0) & (whole | (~F.col("plain") & (literal_words >= literal)))).groupBy(*_KEYS, "item", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("good")))).alias("n"))
-    return held.groupBy(*_KEYS, "item").agg(F.sum("n").cast("long").alias("windows"))
+    good = _bound(odd, lambda out: F.filter("ats", lambda s: ~F.exists(out, lambda p: (p >= s) & (p < s + F.col("k")))))
+    slots = scratch.write(slots.withColumn("good", good).drop("meant"))
+    kept = covered(F.col("good"))
+    literal_words = F.size(F.array_except(kept, F.transform("filled", lambda q: q["p"])))
+    whole = (F.size(kept) == F.col("n")) & ~F.exists("filled", lambda q: F.lower(q["a"]) != F.lower(q["b"]))
+    held = slots.where((F.size("good") > 0) & (whole | (~F.col("plain") & (literal_words >= literal))))
+    return held.groupBy(*_KEYS, "item").agg(F.sum(F.size("good")).cast("long").alias("windows"))
 
 
 def contamination(

@@ -49,11 +49,11 @@ def held(text, item):
     k = min(n, D.WINDOW)
     if not n:
         return 0
-    forms = dict(zip((1, 2), templates(text), strict=True))
+    own = templates(text)[1]
     plain = sum(y not in SLOTS for y in marked(found_words(item))) < D.LITERAL
     if plain:
         low, ilow = [x.lower() for x in raw], [x.lower() for x in iraw]
-        hits = {(at, at - i, form) for at in range(len(low) - k + 1) for i in range(n - k + 1) if low[at : at + k] == ilow[i : i + k] for form in (1, 2)}
+        hits = {(at, at - i) for at in range(len(low) - k + 1) for i in range(n - k + 1) if low[at : at + k] == ilow[i : i + k]}
     else:
         begun = regex.sub(r"^[^\p{L}\p{N}]+", "", item)
         keys = set()
@@ -61,15 +61,14 @@ def held(text, item):
             m = marked(found_words(form))
             for t in templates(form):
                 keys |= {(tuple(t[i : i + k]), i) for i in range(len(t) - k + 1) if any(y not in SLOTS for y in m[i : i + k])}
-        hits = {(at, at - i, form) for form, t in forms.items() for at in range(len(t) - k + 1) for w, i in keys if tuple(t[at : at + k]) == w}
-        # where both templates agree on a window, it counts for both
+        hits = {(at, at - i) for at in range(len(own) - k + 1) for w, i in keys if tuple(own[at : at + k]) == w}
     windows = {}
-    for at, diagonal, form in hits:
-        windows.setdefault((diagonal, form), set()).add(at)
+    for at, diagonal in hits:
+        windows.setdefault(diagonal, set()).add(at)
     good_places = set()
-    for (diagonal, form), ats in windows.items():
+    for diagonal, ats in windows.items():
         covered = {p for s in ats for p in range(s, s + k)}
-        slot = [p for p in covered if forms[form][p] in SLOTS]
+        slot = [p for p in covered if own[p] in SLOTS]
         filled = {p: (iraw[p - diagonal], raw[p]) for p in slot}
         meant = {}
         for a in {a for a, _ in filled.values()}:
@@ -78,7 +77,7 @@ def held(text, item):
         odd = {p for p, (a, b) in filled.items() if meant[a] != b}
         good = {s for s in ats if not any(s <= p < s + k for p in odd)}
         kept = {p for s in good for p in range(s, s + k)}
-        said = sum(forms[form][p] not in SLOTS for p in kept)
+        said = sum(own[p] not in SLOTS for p in kept)
         whole = len(kept) == n and all(a.lower() == b.lower() for a, b in filled.values())
         if good and (whole or not plain and said >= D.LITERAL):
             good_places |= {(diagonal, s) for s in good}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, FloatType
 
 REGULAR, DIRECTORY, INDEXED, PERMISSIONS = 0o100000, 0o040000, 0o1000000, 0o777
 
@@ -113,3 +116,24 @@ def path_parts(path: Column) -> Column:
     names = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
     step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
     return F.aggregate(names, F.array().cast("array<string>"), step)
+
+
+def stat_struct(ino: Column, mode: Column, uid: Column, gid: Column, size: Column, mtime: Column, ctime: Column) -> Column:
+    """An inode as the fields of ``struct stat``: microseconds split into seconds and nanoseconds, access time as modification time."""
+    parts = lambda t: (F.floor(t / 1000000).cast("long"), (F.pmod(t, F.lit(1000000)) * 1000).cast("long"))
+    (ms, mn), (cs, cn) = parts(mtime), parts(ctime)
+    fields = {"st_ino": ino, "st_mode": mode, "st_uid": uid, "st_gid": gid, "st_size": size, "st_mtime": ms, "st_mtime_nsec": mn, "st_atime": ms, "st_atime_nsec": mn, "st_ctime": cs, "st_ctime_nsec": cn}
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+
+@F.pandas_udf(BinaryType())
+def float_le(value: pd.Series) -> pd.Series:
+    """A 32-bit float as four bytes, least first; null stays null."""
+    raw = value.to_numpy(dtype="<f4", na_value=np.nan).tobytes()
+    return pd.Series([None if missing else raw[4 * i : 4 * i + 4] for i, missing in enumerate(value.isna())])
+
+
+@F.pandas_udf(FloatType())
+def from_float_le(data: pd.Series) -> pd.Series:
+    """Four bytes, least first, as a 32-bit float; null and other lengths give null."""
+    return pd.Series([None if x is None or len(x) != 4 else float(np.frombuffer(x, dtype="<f4")[0]) for x in data], dtype="object").astype("float32")

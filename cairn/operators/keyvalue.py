@@ -31,13 +31,16 @@ def _glued(parts: Column, binary: bool) -> Column:
     return F.unhex(F.array_join(F.transform(parts, F.hex), "")) if binary else F.array_join(parts, "")
 
 
-def values_joined(kv: DataFrame, by: tuple[str, ...] = ("key",), order: tuple[str, ...] = ("seq",), name: str = "value") -> DataFrame:
-    """(by, value): all values of a key joined in order of epoch, then of ``order``. Null values add nothing."""
+def values_joined(kv: DataFrame, by: tuple[str, ...] = ("key",), order: tuple[str, ...] = ("seq",), name: str = "value", count: str | None = None) -> DataFrame:
+    """(by, value): all values of a key joined in order of epoch, then of ``order``. Null values add nothing.
+
+    With ``count`` a column of that name has the number of values.
+    """
     binary = isinstance(kv.schema["value"].dataType, BinaryType)
     within = F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"])
-    partial = kv.where(F.col("value").isNotNull()).groupBy(*by, "epoch").agg(_glued(within, binary).alias("value"))
+    partial = kv.where(F.col("value").isNotNull()).groupBy(*by, "epoch").agg(_glued(within, binary).alias("value"), F.count("*").alias("__n"))
     over = F.transform(F.array_sort(F.collect_list(F.struct("epoch", "value"))), lambda x: x["value"])
-    return partial.groupBy(*by).agg(_glued(over, binary).alias(name))
+    return partial.groupBy(*by).agg(_glued(over, binary).alias(name), *([F.sum("__n").alias(count)] if count else []))
 
 
 def first_kept(kv: DataFrame, by: tuple[str, ...] = ("epoch", "key")) -> DataFrame:

@@ -27,7 +27,8 @@ def register(kind: str, factory: Callable) -> None:
 def _dealt(keys: DataFrame, by: list[str], most: int) -> DataFrame:
     """``keys`` with shares and share: as many shares for each group as keep each below ``most`` rows."""
     sizes = keys.groupBy(*by).agg(F.ceil(F.count("*") / (most / 2)).cast("int").alias("shares"))
-    return keys.join(sizes, by).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+    sized = keys.join(sizes, by) if by else keys.crossJoin(F.broadcast(sizes))  # one row where there is one group
+    return sized.withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
 
 
 def _built(rows: DataFrame, by: list[str], most: int, build: Callable[[pd.DataFrame], bytes]) -> DataFrame:

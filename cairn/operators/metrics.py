@@ -26,6 +26,12 @@ def cumulative(buckets: DataFrame) -> DataFrame:
     return buckets.select("bucket", "n", F.sum("n").over(upto).alias("cum"), F.sum("n").over(Window.partitionBy()).alias("total"))
 
 
+def summarised(df: DataFrame, value: Column, most: int = 9) -> DataFrame:
+    """(bucket, n, cum, total, mean, most): the histogram of a figure with its mean and maximum."""
+    both = df.agg(F.avg(value).alias("mean"), F.max(value).cast("long").alias("most"))
+    return cumulative(histogram(df, value, most)).crossJoin(F.broadcast(both))  # one row
+
+
 def op_counts(calls: DataFrame, op: str, ok: Column) -> DataFrame:
     """(op, n, n_ok): calls and successful calls of each operation."""
     return calls.groupBy(F.col(op).alias("op")).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.prefix import running
@@ -56,6 +56,16 @@ def headers(writes: DataFrame, file_id: str, mtime: str, size: str) -> DataFrame
     return writes.groupBy(F.col(file_id).alias("file_id")).agg(F.max(mtime).alias("mtime"), F.max(size).alias("size"))
 
 
-def filter_log(filters: DataFrame, epoch: int) -> DataFrame:
-    """(epoch, filter) of one epoch from a log of them; no row for an epoch without one."""
-    return filters.where(F.col("epoch") == epoch).select("epoch", "filter")
+class FilterLog:
+    """A log of filters: ``epoch=E`` holds what one epoch flush wrote, as built by ``membership.build_filters`` by epoch."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, filters: DataFrame) -> None:
+        """Write the filters of one epoch or of several; epochs written before are replaced."""
+        filters.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(self.path)
+
+    def read(self, epoch: int) -> DataFrame:
+        """(epoch, shares, share, n, filter) of one epoch; no row for an epoch without one."""
+        return self.spark.read.schema("shares int, share int, n long, filter binary, epoch int").parquet(self.path).where(F.col("epoch") == epoch)

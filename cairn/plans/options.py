@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import os
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 from enum import Enum
 
@@ -124,3 +126,11 @@ def parse_options(conf: str, base: Options | None = None) -> Options:
         else:
             out = replace(out, **{key: parsed})
     return out.clamped()
+
+
+def with_environment(base: Options | None = None, environment: Mapping[str, str] | None = None) -> Options:
+    """Options with those of the environment in place of their own: CAIRN_BLOCK_SIZE is ``block_size``."""
+    environment = os.environ if environment is None else environment
+    names = {f.name for f in fields(Options)} | set(_ALIASES) | STORAGE_OPTIONS
+    found = [f"{n}={environment[f'CAIRN_{n.upper()}']}" for n in sorted(names) if f"CAIRN_{n.upper()}" in environment]
+    return parse_options("&".join(found), base)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import TimestampType
 
 from cairn.operators.prefix import running
 from cairn.operators.ranges import RangeTable
@@ -21,6 +23,15 @@ def event_epoch(time: Column, start: str, width_days: int = 1) -> Column:
     return F.floor(F.datediff(F.to_date(time), F.lit(start).cast("date")) / width_days).cast("int")
 
 
+def in_epochs(time: Column, start: str, low: int | None = None, high: int | None = None, width_days: int = 1) -> Column:
+    """``low <= event_epoch(time) < high`` as bounds on the time itself, which reach the scan."""
+    at = lambda epoch: F.lit(str(date.fromisoformat(start) + timedelta(days=epoch * width_days))).cast("date").cast(TimestampType())
+    out = F.lit(True)
+    if low is not None:
+        out = out & (time >= at(low))
+    return out if high is None else out & (time < at(high))
+
+
 def admitted(rows: DataFrame, order: list[str], epoch: str = "epoch") -> DataFrame:
     """``rows`` in order of arrival, with ``late``: an epoch below one that has been seen before."""
     out = running(rows, order, F.col(epoch), "__seen", "max")

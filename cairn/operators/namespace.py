@@ -662,7 +662,19 @@ class Namespace:
         n = self.tree.base.where(F.col("ino") >= self.tree.next_ino).count()
         self.tree.next_ino += n
         self.tree.writes += n << 20
-        return n
+        empty = self._without_bytes(source)
+        for name in empty:
+            self.mkfile(f"{folder}/{name}", excl=False)
+        return n + len(empty)
+
+    def _without_bytes(self, source: str) -> list[str]:
+        """Names of the empty files of a folder or pattern, which Spark's readers pass over."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(source)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = list(store.globStatus(path) or [])
+        if len(found) == 1 and found[0].isDirectory():
+            found = list(store.listStatus(found[0].getPath()))
+        return [x.getPath().getName() for x in found if x.isFile() and x.getLen() == 0]
 
     def cat(self, path: str) -> bytes:
         """All bytes of a file."""

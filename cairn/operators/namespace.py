@@ -100,6 +100,39 @@ def all_paths(inodes: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema("path string, ino long, m int, depth int").parquet(folder).select("path", "ino", "depth")
 
 
+def folders_created(inodes: DataFrame, paths: DataFrame, path: str, folder: str, now: int, first_ino: int, mode: int = 0o755, servers: int = 1) -> DataFrame:
+    """Inodes with every folder on the way to the paths, the paths themselves included; those that are there stay as they are.
+
+    A level at a time: its distinct folders are joined to their parents and to what is there, the missing ones are numbered, and
+    the level is written below ``folder``. Entries below a regular file are left out.
+    """
+    spark = inodes.sparkSession
+    wanted = prefixes(paths, path)
+    deepest = wanted.agg(F.max("depth")).first()[0] or 0
+    there = inodes.select(F.col("dir_ino").alias("pid"), F.col("name").alias("last"), F.col("ino").alias("old"), F.col("mode").alias("old_mode"))
+    above = spark.range(1).select(F.lit("").alias("up"), F.lit(ROOT).cast("long").alias("pid"))
+    made = []
+    for depth in range(1, deepest + 1):
+        own = wanted.where(F.col("depth") == depth).select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("up"), F.regexp_extract("path", "([^/]*)$", 1).alias("last"))
+        found = own.join(above, "up").join(there, ["pid", "last"], "left")
+        fresh = numbered(found.where(F.col("old").isNull()).select("path", "pid", "last"), ["pid", "last"], "ino", first_ino)
+        place = f"{folder}/made={depth}"
+        fresh.write.mode("overwrite").parquet(place)
+        fresh = spark.read.parquet(place)
+        first_ino += fresh.count()
+        made.append(fresh)
+        held = found.where(is_directory(F.col("old_mode"))).select(F.col("path").alias("up"), F.col("old").alias("pid"))
+        above = held.union(fresh.select(F.col("path").alias("up"), F.col("ino").alias("pid")))
+    if not made:
+        return inodes
+    zero, time = F.lit(0), F.lit(now).cast("long")
+    rows = reduce(DataFrame.union, made).select(
+        F.col("pid").alias("dir_ino"), F.col("last").alias("name"), F.col("ino").cast("long").alias("ino"), F.lit(DIRECTORY | mode & PERMISSIONS).alias("mode"), zero.alias("uid"), zero.alias("gid"),
+        zero.cast("long").alias("size"), server_of(F.col("last"), servers).alias("zserver"), time.alias("mtime"), time.alias("ctime"),
+    )
+    return inodes.unionByName(rows)
+
+
 def listing(inodes: DataFrame, limit: int = LIST_LIMIT, by: tuple[str, ...] = ("dir_ino",)) -> DataFrame:
     """(by, name): of every folder at most ``limit`` names of each server, the first ones in order of names."""
     place = F.row_number().over(Window.partitionBy(*by, "zserver").orderBy("name"))

@@ -448,7 +448,12 @@ def ns_list(spark, sf_dir):
 @query(r"""WITH p AS (SELECT DISTINCT list_filter(string_split(regexp_extract(url, '^https?://([^?#]*)', 1), '/'), lambda x: x <> '' AND x <> '.') AS p FROM pages)
 SELECT DISTINCT '/' || array_to_string(p[1:i], '/') AS path, CAST(i AS INTEGER) AS depth FROM (SELECT p, unnest(generate_series(1, len(p))) AS i FROM p)""")
 def ns_mkdirs(spark, sf_dir):
-    return namespace.prefixes(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path")), "path")
+    """Folders for the paths of all pages, made in an empty tree, some of them twice; then every path of the tree."""
+    paths = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path"), "page_id")
+    empty = spark.createDataFrame([], namespace.SCHEMA)
+    some = namespace.folders_created(empty, paths.where("page_id % 3 = 0"), "path", scratch_path(spark, "mkdirs"), 1, 1)
+    after = namespace.folders_created(some, paths, "path", scratch_path(spark, "mkdirs"), 2, 1 << 40)
+    return namespace.all_paths(after, scratch_path(spark, "mkdirs-paths")).select("path", F.col("depth").cast("int").alias("depth"))
 
 
 @query(f"""WITH RECURSIVE {_INODES}, t AS (SELECT ino, '/' || name AS path, 1 AS depth FROM inodes WHERE dir_ino = 0
@@ -773,3 +778,43 @@ def float_codec(spark, sf_dir):
     """Values as 32-bit floats of four bytes, and back."""
     e = table(spark, sf_dir, "events").select("event_id", fn.float_le(F.col("value").cast("float")).alias("raw"))
     return e.select("event_id", fn.from_float_le(F.col("raw")).alias("value"), F.octet_length("raw").alias("size"))
+
+
+# --- order and names --------------------------------------------------------------------------------------------------------------
+
+
+def _out_of_order(rows: DataFrame, *order) -> DataFrame:
+    """(n, wrong): rows, and how many of them come before the row ahead of them in their file."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("file").orderBy("place")
+    placed = rows.select(F.struct(*order).alias("x"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+    return placed.withColumn("before", F.lag("x").over(own)).agg(F.count("*").alias("n"), F.count_if(F.col("before") > F.col("x")).alias("wrong"))
+
+
+@query(f"WITH {_KV} SELECT count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM kv WHERE epoch >= 0 AND epoch < 30")
+def table_order(spark, sf_dir):
+    """Files of a written table are sorted by key and order of writing."""
+    writer = EpochWriter(spark, scratch_path(spark, "table-order"), Options(lg_parts=2, mode=Mode.MULTIMAP))
+    writer.put(kv_only(spark, sf_dir, low=0, high=30).select("key", "value", "seq"))
+    writer.finish()
+    return _out_of_order(EpochReader(spark, writer.path).rows(), "part", "key", "seq")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM events")
+def range_order(spark, sf_dir):
+    """Files of a range table are sorted by block and key."""
+    out = ranges.RangeTable(spark, scratch_path(spark, "range-order"), parts=4)
+    out.update_bounds(10.0, 90.0)
+    out.add(table(spark, sf_dir, "events").select(F.col("value").alias("fkey"), "event_id"), 0)
+    return _out_of_order(out.rows(), "blk", "fkey")
+
+
+@query("""SELECT CAST(l_suppkey AS BIGINT) AS l_suppkey, CAST(l_suppkey % 100 AS INTEGER) AS epoch, CAST(l_suppkey % 7 AS INTEGER) AS tbl,
+'PlfsDir_' || lpad(upper(to_hex(l_suppkey)), 16, '0') AS folder, CAST((32768 + l_suppkey % 512) & ~18 AS INTEGER) AS mode FROM (SELECT DISTINCT l_suppkey FROM lineitem)""")
+def labels_parsed(spark, sf_dir):
+    """Labels of tables read back, names of key folders, modes under a umask."""
+    s = F.col("l_suppkey")
+    epoch, tbl = fn.parsed_label(fn.table_label((s % 100).cast("int"), (s % 7).cast("int")))
+    key = F.unhex(F.lpad(F.hex(s), 16, "0"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().select(s.cast("long").alias("l_suppkey"), epoch.alias("epoch"), tbl.alias("tbl"), fn.folder_name(key).alias("folder"), fn.masked((s % 512 + fn.REGULAR).cast("int"), 0o022).alias("mode"))

@@ -96,7 +96,7 @@ class Options:
         return replace(self, lg_parts=min(max(self.lg_parts, 0), 8), total_memtable_budget=min(max(self.total_memtable_budget, 1 << 20), 1 << 30), block_size=min(max(self.block_size, 1 << 10), 1 << 20))
 
 
-#: Options about buffers, logs and checksums: Spark and Parquet own those; they are taken note of only.
+#: Options about buffers and logs: Spark and Parquet own those; they are taken note of only. Readers heed those about checksums.
 STORAGE_OPTIONS = frozenset(
     "compaction_buffer data_buffer min_data_buffer index_buffer min_index_buffer block_padding tail_padding verify_checksums skip_checksums "
     "parallel_reads epoch_log_rotation leveldb_compatible filter_bits_per_key index_compression force_compression".split()

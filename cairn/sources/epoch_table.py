@@ -20,7 +20,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from cairn.functions.scalar import name_key, placed
 from cairn.operators import keyvalue, membership
 from cairn.plans.errors import AlreadyExists, AssertionFailed, InvalidArgument, NotFound
-from cairn.plans.options import Mode, Options
+from cairn.plans.options import Mode, Options, pretty_bool
 
 ROWS = StructType([StructField("tbl", IntegerType()), StructField("seq", LongType()), StructField("key", BinaryType()), StructField("value", BinaryType()), StructField("epoch", IntegerType()), StructField("part", IntegerType())])
 FILTERS = "part int, tbl int, shares int, share int, n long, filter binary, epoch int"
@@ -74,7 +74,7 @@ def write_table(kv: DataFrame, path: str, options: Options, epoch: int, tbl: int
     if not options.skip_sort:
         dealt = dealt.sortWithinPartitions("part", *(["key", "seq"] if options.mode.ordered else ["seq"]))
     writer = dealt.select("tbl", "seq", "key", "value", "part").write.mode("overwrite" if overwrite else "append").partitionBy("part")
-    writer = writer.option("compression", options.compression)
+    writer = writer.option("compression", options.compression).option("parquet.page.write-checksum.enabled", "true")
     if options.filter == "bloom" and options.bf_bits_per_key > 0:
         # the false-positive rate of a Bloom filter with so many bits a key
         writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(max(1e-6, 0.6185**options.bf_bits_per_key)))
@@ -98,12 +98,13 @@ class EpochWriter:
 
     SHIFT = 44  # seq = number of the put << SHIFT | seq within it
 
-    def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
+    def __init__(self, spark: SparkSession, path: str, options: Options | None = None, listeners: tuple[Callable[[str, int, int], None], ...] = ()):
+        """``listeners`` are called with (event, epoch, table) as each table's writing starts and ends or fails."""
         if exists(spark, f"{path}/meta"):
             raise AlreadyExists(path)
         self.spark, self.path, self.options = spark, path, (options or Options()).clamped()
         self.epoch, self.tables, self.puts, self.pending, self.done = 0, 0, 0, [], False
-        self.pool, self.jobs = ThreadPoolExecutor(max_workers=1), []
+        self.pool, self.jobs, self.listeners = ThreadPoolExecutor(max_workers=1), [], listeners
         _put_meta(spark, path, self.options, 0, False)
 
     def _check(self, epoch: int) -> None:
@@ -137,7 +138,17 @@ class EpochWriter:
         if self.options.mode.drops_repeats and tbl:
             held = self.spark.read.schema(ROWS).option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows/epoch={epoch}")
             rows = rows.join(held.select("key"), "key", "left_anti")
-        write_table(rows, self.path, self.options, epoch, tbl)
+        self._tell("table_start", epoch, tbl)
+        try:
+            write_table(rows, self.path, self.options, epoch, tbl)
+        except Exception:
+            self._tell("table_failed", epoch, tbl)
+            raise
+        self._tell("table_end", epoch, tbl)
+
+    def _tell(self, event: str, epoch: int, tbl: int) -> None:
+        for listener in self.listeners:
+            listener(event, epoch, tbl)
 
     def wait(self) -> None:
         jobs, self.jobs = self.jobs, []
@@ -173,6 +184,8 @@ class EpochReader:
         self.spark, self.path = spark, path
         self.options, written, self.sealed = _get_meta(spark, path)
         self.ignore_filters = ignore_filters or self.options.ignore_filters
+        named = dict(self.options.storage)
+        self.verify = (paranoid or self.options.paranoid_checks or pretty_bool(named.get("verify_checksums", "")) is True) and pretty_bool(named.get("skip_checksums", "")) is not True
         self.epochs = written if num_epochs is None else min(written, num_epochs)
         if paranoid and not self.sealed:
             raise InvalidArgument("the table is not finished")
@@ -181,7 +194,7 @@ class EpochReader:
         end = self.epochs if end is None else min(end, self.epochs)
         if not exists(self.spark, f"{self.path}/rows"):
             return self.spark.createDataFrame([], ROWS)
-        reader = self.spark.read.schema(ROWS)
+        reader = self.spark.read.schema(ROWS).option("parquet.page.verify-checksum.enabled", str(self.verify).lower())
         if self.ignore_filters:
             reader = reader.option("parquet.filter.bloom.enabled", "false")
         return keyvalue.epochs_between(reader.parquet(f"{self.path}/rows"), max(0, start), end)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import TimestampType
 
 from cairn.operators.prefix import running
 from cairn.operators.ranges import RangeTable
@@ -25,7 +24,7 @@ def event_epoch(time: Column, start: str, width_days: int = 1) -> Column:
 
 def in_epochs(time: Column, start: str, low: int | None = None, high: int | None = None, width_days: int = 1) -> Column:
     """``low <= event_epoch(time) < high`` as bounds on the time itself, which reach the scan."""
-    at = lambda epoch: F.lit(str(date.fromisoformat(start) + timedelta(days=epoch * width_days))).cast("date").cast(TimestampType())
+    at = lambda epoch: F.lit(str(date.fromisoformat(start) + timedelta(days=epoch * width_days))).cast("date")
     out = F.lit(True)
     if low is not None:
         out = out & (time >= at(low))

@@ -41,6 +41,7 @@ SPLIT_FROM = 40
 PRIOR = 30.0
 AMBIGUOUS_BELOW, REJECTED_BELOW = 0.9, 0.4
 UNKNOWN = "und"
+_BOUNDS = pa.schema([("lang", pa.string()), *((x, pa.int64()) for x in ("taken", "kept_back", "tested"))])
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
@@ -230,8 +231,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for lang, n in counts.items():
         taken = min(1.0, own / n) * whole
         split = n >= SPLIT_FROM
-        bounds.append((lang, int(taken), int(taken * 0.25) if split else 0, int(min(taken * (0.25 if split else 1.0), tested / n * whole))))
-    bound = df.sparkSession.createDataFrame(bounds, "lang string, taken long, kept_back long, tested long")
+        bounds.append({"lang": lang, "taken": int(taken), "kept_back": int(taken * 0.25) if split else 0, "tested": int(min(taken * (0.25 if split else 1.0), tested / n * whole))})
+    bound = df.sparkSession.createDataFrame(pa.Table.from_pylist(bounds, _BOUNDS))  # as Arrow: rows from Python objects would start workers of their own
     pick = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(whole)).alias("pick")
     some = rows.select("lang", "text", pick).join(F.broadcast(bound), "lang")  # as many rows as languages, collected above
     counted = _counted(some.where(F.col("pick").between(F.col("kept_back"), F.col("taken"))).select("lang", "text"))

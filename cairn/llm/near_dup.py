@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
-from cairn.llm.frames import as_text
+from cairn.llm.frames import as_text, in_slices
 from cairn.llm.shingles import mixed, shingle_set
 from cairn.llm.storage import Scratch
 
@@ -109,7 +109,7 @@ def signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> Data
     """(doc_id, n_shingles, set_a, set_b, bands, odd) from (doc_id, text); set_a and set_b are a hash of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sizes, a, b, keys, odds = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text, shingle)
@@ -144,7 +144,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
-        for batch in batches:
+        for batch in in_slices(batches):
             left, right = [], []
             for a, g, b, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 h = shingle_set(text, shingle)

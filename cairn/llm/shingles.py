@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 100_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from cairn.llm import bpe_encode, decontaminate, language_id, line_dup, near_dup
 from cairn.llm.frames import table
 from cairn.llm.storage import Scratch
+from cairn.session import reach_from_workers
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; those without letters and those that could be any language go."""
+    reach_from_workers(spark)  # before any Python: workers of an older environment stay beside those of the new one
     return language_id.keep_identified(docs)
 
 
@@ -33,6 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies (shingles of five words, similarity 0.8)."""
+    reach_from_workers(spark)
     return near_dup.keep_one_of_each(docs)
 
 
@@ -43,6 +46,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    reach_from_workers(spark)
     return bpe_encode.round_trip(docs)
 
 

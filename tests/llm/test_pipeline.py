@@ -6,11 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
 from cairn.llm import bpe_encode, language_id, line_dup
+from cairn.llm.frames import in_slices
 from cairn.llm.shingles import shingle_set
 from tests.llm.test_decontaminate import held
 
@@ -128,3 +130,24 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert rows[1][:4] == (1, "the cat and the dog", "en", "s") and (2 in rows) == (name != "language")
         assert stage(spark, docs.limit(0).drop("__id"), str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_share_one_kind_of_python_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the cat and the dog {i}", "en", "s", 19) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    environment, refused = spark.sparkContext.environment, []
+    monkeypatch.delitem(environment, "PYTHONPATH")
+    seen = []
+    for name in ("language", "near_copies", "tokens"):
+        monkeypatch.delitem(environment, "PYTHONPATH", raising=False)
+        with monkeypatch.context() as m:
+            m.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: refused.append(name))
+            out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+        seen.append(environment.get("PYTHONPATH"))
+        assert out.count() == 20
+    assert seen[0] and seen == seen[:1] * 3 and not refused
+
+
+def test_python_objects_are_made_of_few_rows():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(at, at + n))}) for at, n in ((0, 1203), (1203, 0), (1203, 500))]
+    out = list(in_slices(iter(batches)))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(1703)) and max(b.num_rows for b in out) == 500

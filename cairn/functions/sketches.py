@@ -11,12 +11,21 @@ import xxhash
 from cairn.functions.codecs import BITMAPS, FINDERS
 
 _LOW = 0xFFFFFFFF
+STALL = 16  # moves in which a quarter of the entries in hand must find a home
 
 
 def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
 
 
+def _ranks(*by: np.ndarray) -> np.ndarray:
+    """The place of each entry in its run of equal ones."""
+    at = np.arange(len(by[0]))
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = np.any([np.diff(x) != 0 for x in by], axis=0)
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
 class Filter:
     """A kind of filter: ``build(keys) -> bytes``; ``opened(data)`` is read once and then asked about any number of keys."""
 
@@ -97,39 +106,79 @@ class Cuckoo(Filter):
 
     def build_tables(self, items: Iterable[tuple[bytes, int]]) -> list[np.ndarray]:
         """Tables of (buckets, 4): mark and value in one integer, 0 where free."""
-        todo, tables = [(xxhash.xxh64_intdigest(k), v & ((1 << self.value_bits) - 1)) for k, v in items], []
+        items = list(items)
+        h, tables = _hashes([k for k, _ in items]), []
+        values = np.fromiter((v & ((1 << self.value_bits) - 1) for _, v in items), dtype=np.int64, count=len(items))
         rng = np.random.default_rng(self.seed)
-        while todo:
-            n = 1
-            while n * 4 * self.fill < len(todo):
+        while len(h):
+            # both homes of a mark hold eight entries of it, so a table is not made for more
+            n, held = 1, int(np.minimum(np.unique(h, return_counts=True)[1], 8).sum())
+            while n * 4 * self.fill < held:
                 n *= 2
-            table, left = [[] for _ in range(n)], []
-            for h, v in todo:
-                mark, i = fingerprint(h, self.mark_bits), h & (n - 1)
-                item = (mark, v)
-                for _ in range(self.max_moves):
-                    home = next((b for b in (i, other_bucket(i, item[0]) & (n - 1)) if len(table[b]) < 4), None)
-                    if home is not None:
-                        table[home].append(item)
-                        item = None
-                        break
-                    i = other_bucket(i, item[0]) & (n - 1)
-                    slot = int(rng.integers(4))
-                    table[i][slot], item = item, table[i][slot]
-                if item is not None:
-                    # bucket i held the item in hand: in a smaller table its homes are i's low bits
-                    left.append((item[0] << (64 - self.mark_bits) | i & ((1 << (64 - self.mark_bits)) - 1), item[1]))
-            tables.append(np.array([[m << self.value_bits | v for m, v in b] + [0] * (4 - len(b)) for b in table], dtype=np.int64))
-            todo = left
+            table, h, values = self._filled(h, values, n, rng)
+            tables.append(table)
         return tables
 
+    def _filled(self, h: np.ndarray, values: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(table of ``n`` buckets, hashes and values of what found no home): all entries without a home move at once, round by round."""
+        mark = self._marks(h)
+        entry, at = mark << self.value_bits | values, (h & np.uint64(n - 1)).astype(np.int64)
+        pair = np.minimum(at, self._others(at, mark, n))
+        order = np.lexsort((entry, pair))
+        new = np.ones(len(h), dtype=bool)  # an entry that both its homes know already says nothing
+        new[1:] = (np.diff(pair[order]) != 0) | (np.diff(entry[order]) != 0)
+        order = order[new]
+        rank = _ranks(pair[order], mark[order])
+        fits = rank < np.where(self._others(at[order], mark[order], n) == at[order], 4, 8)
+        over = order[~fits]  # would only drive out others of its own mark
+        order = np.sort(order[fits])
+        entry, at = entry[order], at[order]
+        table, used = np.zeros((n, 4), dtype=np.int64), np.zeros(n, dtype=np.int64)
+        before = len(at)
+        for move in range(self.max_moves):
+            for _ in range(2):  # its home, or else the other one
+                by = np.argsort(at, kind="stable")
+                entry, at = entry[by], at[by]
+                slot = used[at] + _ranks(at)
+                free = slot < 4
+                table[at[free], slot[free]] = entry[free]
+                np.add.at(used, at[free], 1)
+                entry, at = entry[~free], at[~free]
+                at = self._others(at, entry >> self.value_bits, n)
+            if not len(at):
+                break
+            if move % STALL == STALL - 1:  # keys of several values crowd some homes: what they have too many of would move for ever
+                if len(at) > 0.75 * before:
+                    break
+                before = len(at)
+            by = np.argsort(at, kind="stable")
+            entry, at = entry[by], at[by]
+            rank = _ranks(at)
+            moved = np.nonzero(rank < 4)[0]  # each drives out another entry of its bucket
+            place = at[moved], (rng.integers(4, size=len(at))[moved - rank[moved]] + rank[moved]) % 4
+            entry[moved], table[place] = table[place], entry[moved]
+            at[moved] = self._others(at[moved], entry[moved] >> self.value_bits, n)
+        # bucket ``at`` is a home of the entry in hand: in a smaller table its homes are the low bits
+        low = np.uint64((1 << (64 - self.mark_bits)) - 1)
+        left = (entry >> self.value_bits).astype(np.uint64) << np.uint64(64 - self.mark_bits) | at.astype(np.uint64) & low
+        return table, np.concatenate([h[over], left]), np.concatenate([values[over], entry & ((1 << self.value_bits) - 1)])
+
+    def _marks(self, h: np.ndarray) -> np.ndarray:
+        """``fingerprint`` of many hashes."""
+        return np.maximum(h >> np.uint64(64 - self.mark_bits), np.uint64(1)).astype(np.int64)
+
+    @staticmethod
+    def _others(i: np.ndarray, mark: np.ndarray, n: int) -> np.ndarray:
+        """``other_bucket`` of many marks in a table of ``n`` buckets."""
+        return (i ^ (mark * 0x5BD1E995 & _LOW)) & (n - 1)
+
     def _hits(self, tables: list[np.ndarray], keys: list[bytes]) -> Iterable[tuple[np.ndarray, np.ndarray]]:
         """For each table and home bucket: (entries, whether they bear the key's mark), both (keys, 4)."""
         h = _hashes(keys)
-        mark = np.maximum(h >> np.uint64(64 - self.mark_bits), np.uint64(1)).astype(np.int64)
+        mark = self._marks(h)
         for t in tables:
             i = (h & np.uint64(len(t) - 1)).astype(np.int64)
-            for home in (i, (i ^ (mark * 0x5BD1E995 & _LOW)) & (len(t) - 1)):
+            for home in (i, self._others(i, mark, len(t))):
                 entries = t[home]
                 yield entries, entries >> self.value_bits == mark[:, None]
 
@@ -139,11 +188,24 @@ class Cuckoo(Filter):
 
     def values_of(self, tables: list[np.ndarray], keys: list[bytes]) -> list[list[int]]:
         """Candidate values of each key, sorted."""
-        found: list[set[int]] = [set() for _ in keys]
+        found: list[list[int]] = [[] for _ in keys]
+        for row, value in zip(*(x.tolist() for x in self.pairs_of(tables, keys)), strict=True):
+            found[row].append(value)
+        return found
+
+    def pairs_of(self, tables: list[np.ndarray], keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places of keys, candidate values), a pair for each of a key's values, sorted."""
+        rows, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for entries, hit in self._hits(tables, keys):
-            for row, slot in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-                found[row].add(int(entries[row, slot]) & ((1 << self.value_bits) - 1))
-        return [sorted(x) for x in found]
+            row, slot = np.nonzero(hit)
+            rows.append(row)
+            values.append(entries[row, slot] & ((1 << self.value_bits) - 1))
+        row, value = np.concatenate(rows), np.concatenate(values)
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (np.diff(row) != 0) | (np.diff(value) != 0)
+        return row[new], value[new]
 
     def build(self, keys: Iterable[bytes]) -> bytes:
         return self.build_values((k, 0) for k in keys)

@@ -56,14 +56,22 @@ def build_value_filters(rows: DataFrame, by: list[str], value: str, mark_bits: i
     return _built(rows, by, most, lambda group: own.build_values((bytes(k), int(v)) for k, v in zip(group["key"], group["value"], strict=True)))
 
 
+def written(filters: DataFrame, path: str) -> DataFrame:
+    """The same filters from Parquet files, so that they are built once however often they are read; a few large ones to a row group."""
+    sizes = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    filters.write.options(**sizes).parquet(path)
+    return filters.sparkSession.read.schema(filters.schema).parquet(path)
+
+
 def _asked(keys: DataFrame, filters: DataFrame, by: list[str], opened: Callable, answer: Callable, extra: str = "") -> DataFrame:
     """``answer(opened filter, batch of keys)`` gives (places of the keys, columns besides): each filter meets its keys in as many
-    places as keep each below ``KEYS_A_TASK`` keys."""
+    places as keep each below ``KEYS_A_TASK`` keys. The filters are read twice: they should be written ones (``written``)."""
     keys = keys.select(*by, F.col("key").cast("binary").alias("key"))
     sizes = filters.select(*by, "shares").distinct()
     joined = keys.join(sizes, by) if by else keys.crossJoin(F.broadcast(sizes))  # one row where there is one group
     asked = joined.withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
     salts = asked.groupBy(*by, "share").agg(F.ceil(F.count("*") / KEYS_A_TASK).cast("int").alias("salts"))
+    salts = salts if by else F.broadcast(salts)  # a row for each share of one group
     asked = asked.join(salts, [*by, "share"]).withColumn("salt", F.pmod(F.hash("key"), F.col("salts")))
     asked = asked.select(*by, "share", "salt", F.lit(None).cast("binary").alias("filter"), "key")
     held = filters.join(salts, [*by, "share"]).select(*by, "share", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"))
@@ -88,12 +96,13 @@ def _asked(keys: DataFrame, filters: DataFrame, by: list[str], opened: Callable,
                     stop += 1
                 if groups[at] == place:
                     places, columns = answer(held, asked[at:stop])
-                    rows += [at + i for i in places]
+                    rows.append(np.asarray(places, dtype=np.int64) + at)
                     more.append(columns)
                 at = stop
-            out = batch.take(pa.array(rows, pa.int64())).select([*range(k), k + 3])
+            out = batch.take(pa.array(np.concatenate(rows) if rows else [], pa.int64())).select([*range(k), k + 3])
             for name, kind in (x.split() for x in extra.split(", ") if x):
-                out = out.append_column(name, pa.array([v for columns in more for v in columns], pa.int64() if kind == "long" else pa.string()))
+                kind = pa.int64() if kind == "long" else pa.string()
+                out = out.append_column(name, pa.concat_arrays([pa.array(columns, kind) for columns in more] or [pa.array([], kind)]))
             yield out
 
     kinds = [*(f"{c} {keys.schema[c].dataType.simpleString()}" for c in by), "key binary", *([extra] if extra else [])]
@@ -110,12 +119,7 @@ def probe(keys: DataFrame, filters: DataFrame, by: list[str], kind: str = "bloom
 def candidate_values(keys: DataFrame, filters: DataFrame, by: list[str], mark_bits: int = 8, value_bits: int = 24) -> DataFrame:
     """(by, key, value): the values that a cuckoo filter gives for each key: all that were put in, and by chance others."""
     own = Cuckoo(mark_bits, value_bits)
-
-    def answer(tables, asked: list[bytes]) -> tuple[list[int], list[int]]:
-        found = own.values_of(tables, asked)
-        return [i for i, x in enumerate(found) for _ in x], [v for x in found for v in x]
-
-    return _asked(keys, filters, by, own.load, answer, "value long")
+    return _asked(keys, filters, by, own.load, own.pairs_of, "value long")
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:

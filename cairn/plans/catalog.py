@@ -313,7 +313,7 @@ def _filtered(spark, sf_dir, kind, **options):
     keys = c.where("c_mktsegment = 'BUILDING'").select((F.col("c_nationkey") % 4).cast("int").alias("part"), fn.le32(F.col("c_custkey")).alias("key"))
     where = c.select(F.col("c_custkey").alias("o_custkey"), (F.col("c_nationkey") % 4).cast("int").alias("part"), (F.col("c_mktsegment") == "BUILDING").alias("held"))
     asked = o.join(where, "o_custkey").select("part", fn.le32(F.col("o_custkey")).alias("key"), "held").distinct()
-    filters = membership.build_filters(keys, ["part"], kind, **options)
+    filters = membership.written(membership.build_filters(keys, ["part"], kind, **options), scratch_path(spark, "filters"))
     return asked, membership.probe(asked.select("part", "key"), filters, ["part"], kind, **options)
 
 
@@ -659,8 +659,8 @@ def table_properties(spark, sf_dir):
 def _side(spark, sf_dir):
     """(rows, filters): line items as (key, rank), and cuckoo filters that hold the ranks of each key."""
     reach_from_workers(spark)
-    rows = table(spark, sf_dir, "lineitem").select(fn.le32(F.col("l_orderkey")).alias("key"), (F.col("l_suppkey") % 16).cast("long").alias("rank")).distinct()
-    return rows, membership.build_value_filters(rows, [], "rank", mark_bits=12, value_bits=8)
+    rows = table(spark, sf_dir, "lineitem").select(fn.le32(F.col("l_orderkey")).alias("key"), (F.col("l_suppkey") % 16).cast("long").alias("rank"))
+    return rows, membership.written(membership.build_value_filters(rows, [], "rank", mark_bits=12, value_bits=8), scratch_path(spark, "side-filters"))
 
 
 @query("SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, list_sort(list_distinct(list(CAST(l_suppkey % 16 AS BIGINT)))) AS ranks, true AS few_false FROM lineitem GROUP BY l_orderkey")
@@ -668,10 +668,14 @@ def side_ranks(spark, sf_dir):
     """The ranks that a side filter names for each key, checked against the data; at most 5 % more are named than there are."""
     rows, filters = _side(spark, sf_dir)
     named = membership.candidate_values(rows.select("key").distinct(), filters, [], 12, 8).withColumnRenamed("value", "rank")
-    both = named.join(rows.withColumn("there", F.lit(True)), ["key", "rank"], "left")
-    few = both.agg((F.count_if(F.col("there").isNull()) <= 0.05 * F.count("*")).alias("few_false"))
-    found = both.where("there").groupBy("key").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
-    return found.crossJoin(F.broadcast(few)).select(fn.from_le32(F.col("key")).alias("l_orderkey"), "ranks", "few_false")  # one row
+    mixed = named.withColumn("there", F.lit(False)).union(rows.withColumn("there", F.lit(True))).repartition("key")  # one exchange for both groupings
+    both = mixed.groupBy("key", "rank").agg(F.bool_or(~F.col("there")).alias("named"), F.bool_or("there").alias("there")).where("named")
+    found = both.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("there"), F.col("rank")))).alias("ranks"), F.count("*").alias("n"))
+    path = scratch_path(spark, "side-ranks")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    few = found.agg((F.sum(F.col("n") - F.size("ranks")) <= 0.05 * F.sum("n")).alias("few_false"))
+    return found.where(F.size("ranks") > 0).crossJoin(F.broadcast(few)).select(fn.from_le32(F.col("key")).alias("l_orderkey"), "ranks", "few_false")  # one row
 
 
 @query("SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_suppkey % 16 AS BIGINT) AS rank, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL")

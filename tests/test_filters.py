@@ -1,3 +1,7 @@
+import time
+import uuid
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,6 +11,8 @@ from cairn.functions.codecs import BITMAPS
 from cairn.functions.scalar import le32
 from cairn.functions.sketches import Bitmap, Bloom, Cuckoo, other_bucket
 from cairn.operators import membership
+from cairn.plans import catalog
+from tests.test_catalog import DATA
 
 
 @pytest.mark.parametrize("fmt", BITMAPS)
@@ -63,3 +69,52 @@ def test_build_and_probe_in_shares(spark, kind):
     assert got >= set(range(0, 3000, 2)) and len(got) < 1700
     if kind.startswith("bitmap"):
         assert got == set(range(0, 3000, 2))
+
+
+def test_cuckoo_of_crowded_homes_takes_little_time():
+    """Sixteen values for each key are twice what the homes of a key hold: no entry may move in vain hundreds of times."""
+    items = [(int(k).to_bytes(4, "little"), v) for k in range(3000) for v in range(16)]
+    c, began = Cuckoo(12, 8), time.process_time()
+    tables = c.build_tables(items)
+    assert time.process_time() - began < 5
+    named = c.values_of(tables, [int(k).to_bytes(4, "little") for k in range(3000)])
+    assert all(x == list(range(16)) for x in named) and sum(t.size for t in tables) < 4 * len(items)
+
+
+@pytest.mark.parametrize("values", [1, 9, 500])
+def test_cuckoo_holds_every_value_and_repeats_once(values):
+    items = [(b"one", v) for v in range(values)] + [(str(k).encode(), 7) for k in range(200)] * 2
+    c = Cuckoo(12, 16)
+    named = c.values_of(c.load(c.build_values(items)), [b"one", *(str(k).encode() for k in range(200))])
+    assert set(named[0]) >= set(range(values)) and all(7 in x for x in named[1:])
+    assert sum(map(len, named)) < 1.05 * (values + 200) + 5
+    assert sum(np.count_nonzero(t) for t in c.build_tables(items)) <= values + 200
+
+
+def test_queries_build_filters_once(spark, tmp_path):
+    class Counted:
+        def __init__(self, folder):
+            self.folder = folder
+
+        def build(self, keys):
+            (Path(self.folder) / uuid.uuid4().hex).touch()
+            return b"".join(keys)
+
+        def matches(self, data, keys):
+            return [k in data for k in keys]
+
+    membership.register("counted", Counted)
+    try:
+        _, passed = catalog._filtered(spark, DATA, "counted", folder=str(tmp_path))
+        passed.count()
+        assert len(list(tmp_path.iterdir())) == 4
+    finally:
+        del membership.REGISTRY["counted"]
+
+
+def _builds(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas")
+
+
+def test_side_ranks_builds_nothing_again(spark):
+    assert _builds(catalog.QUERIES["side_ranks"](spark, DATA)) == 0

@@ -681,11 +681,11 @@ def side_ranks(spark, sf_dir):
 @query("SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_suppkey % 16 AS BIGINT) AS rank, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL")
 def side_rank_get(spark, sf_dir):
     """Keys looked up in the ranks that a side filter names, and only there; a rank named by chance gives nothing."""
-    _, filters = _side(spark, sf_dir)
+    rows, filters = _side(spark, sf_dir)
     asked = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(fn.le32(F.col("o_orderkey")).alias("key")).distinct()
     where = membership.candidate_values(asked, filters, [], 12, 8).withColumnRenamed("value", "rank")
-    data = table(spark, sf_dir, "lineitem").select(fn.le32(F.col("l_orderkey")).alias("key"), (F.col("l_suppkey") % 16).cast("long").alias("rank"))
-    return data.join(where, ["key", "rank"], "left_semi").groupBy(fn.from_le32(F.col("key")).alias("l_orderkey"), "rank").agg(F.count("*").alias("n"))
+    data = rows.groupBy("key", "rank").agg(F.count("*").alias("n"))
+    return data.join(where, ["key", "rank"], "left_semi").select(fn.from_le32(F.col("key")).alias("l_orderkey"), "rank", "n")
 
 
 # --- moving ranges and leases ------------------------------------------------------------------------------------------------

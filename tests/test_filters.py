@@ -118,3 +118,7 @@ def _builds(df):
 
 def test_side_ranks_builds_nothing_again(spark):
     assert _builds(catalog.QUERIES["side_ranks"](spark, DATA)) == 0
+
+
+def test_side_rank_get_builds_nothing_again(spark):
+    assert _builds(catalog.QUERIES["side_rank_get"](spark, DATA)) == 0
